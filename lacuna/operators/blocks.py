@@ -17,6 +17,7 @@ inside the box, and the comparison is safe to the last bit.
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import reduce
 from operator import add
 
@@ -31,7 +32,7 @@ ROWS_PER_BLOCK = 512
 # Known rows looked at on each side of a missing row along the curve.
 CURVE_REACH = 64
 CURVE_BITS = 62
-QUANTILE_STEPS = 256
+QUANTILE_STEPS = 128
 # A tree node has at most 2**FAN_BITS children.
 FAN_BITS = 5
 # Node boxes are broadcast up to this many bytes and joined by shuffle beyond.
@@ -46,24 +47,52 @@ BLOCK_SCHEMA = """
 """
 
 
-def make_blocks(known: DataFrame, missing: DataFrame, k: int, width: int, rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
-    """Blocks over ``known`` and ``missing`` rows of ``line_id, value, features``."""
-    points = known.unionByName(missing)
+@dataclass(frozen=True)
+class Blocks:
+    """The written block table and the few facts needed to plan the search."""
+
+    table: DataFrame
+    top: int
+    known_rows: int
+    missing_rows: int
+    some_unbounded: bool
+
+
+def make_blocks(points: DataFrame, known: DataFrame, k: int, width: int, rows_per_block: int = ROWS_PER_BLOCK) -> Blocks:
+    """Blocks over the missing rows of ``points`` and over ``known``.
+
+    Both have columns ``line_id, value, features``; ``known`` is the known part
+    of ``points`` without needless copies.
+    """
     rows, edges = _feature_quantiles(points, width)
     curve = _curve_position(edges, _curve_steps(edges))
     # Blocks end where a cell of about four blocks ends, so none spans a jump.
     cell_bits = max(0, int(math.log2(max(1, rows / rows_per_block))) - 2)
     sorted_points = (
-        points.withColumn("z", curve("features"))
+        known.unionByName(points.where(F.col("value").isNull()))
+        .withColumn("z", curve("features"))
         # The id as second key lets a range boundary fall inside equal positions.
         .repartitionByRange("z", "line_id")
         .sortWithinPartitions("z", "line_id")
         .select(F.spark_partition_id().alias("part"), "line_id", "value", "features", "z")
     )
     pack = _block_packer(k, width, rows_per_block, CURVE_BITS - cell_bits)
-    blocks = write_and_reread(sorted_points.mapInArrow(pack, BLOCK_SCHEMA), "blocks")
-    top_seq = blocks.agg(F.max("seq")).first()[0] or 0
-    return blocks.withColumn("block", F.col("part").cast("bigint") * (1 << int(top_seq).bit_length()) + F.col("seq"))
+    table = write_and_reread(sorted_points.mapInArrow(pack, BLOCK_SCHEMA), "blocks")
+    facts = table.agg(
+        F.coalesce(F.max("part"), F.lit(0)).alias("part"),
+        F.coalesce(F.max("seq"), F.lit(0)).alias("seq"),
+        F.coalesce(F.sum("n"), F.lit(0)).alias("known"),
+        F.coalesce(F.sum("m"), F.lit(0)).alias("missing"),
+        F.count_if(F.col("bound") == float("inf")).alias("unbounded"),
+    ).first()
+    span = 1 << int(facts["seq"]).bit_length()
+    return Blocks(
+        table=table.withColumn("block", F.col("part").cast("bigint") * span + F.col("seq")),
+        top=facts["part"] * span + facts["seq"],
+        known_rows=facts["known"],
+        missing_rows=facts["missing"],
+        some_unbounded=facts["unbounded"] > 0,
+    )
 
 
 def _feature_quantiles(points: DataFrame, width: int) -> tuple[int, np.ndarray]:
@@ -243,17 +272,16 @@ def _block_arrow_schema() -> pa.Schema:
     ])
 
 
-def candidate_pairs(blocks: DataFrame, k: int, width: int) -> DataFrame:
+def candidate_pairs(blocks: Blocks, k: int, width: int) -> DataFrame:
     """``(q_block, k_block, reach)``: every pair that may hold a k-nearest row.
 
     ``reach`` is the squared distance beyond which no row of the pair matters.
     """
-    facts = blocks.agg(F.max("block"), F.max(F.when(F.col("bound") == float("inf"), 1))).first()
-    top, some_unbounded = int(facts[0] or 0), facts[1] is not None
-    frontier = blocks.where("m > 0").select(
+    top = blocks.top
+    frontier = blocks.table.where("m > 0").select(
         F.col("block").alias("q_block"), "q_lo", "q_hi", F.col("bound").alias("reach"), F.lit(0).cast("bigint").alias("at")
     )
-    leaves = blocks.where("n > 0").select(F.col("block").alias("node"), F.col("n").cast("bigint").alias("n"), "lo", "hi")
+    leaves = blocks.table.where("n > 0").select(F.col("block").alias("node"), F.col("n").cast("bigint").alias("n"), "lo", "hi")
     top_shift = (max(top.bit_length() - 1, 0) // FAN_BITS) * FAN_BITS
     for shift in range(top_shift, -1, -FAN_BITS):
         nodes = _nodes_at(leaves, shift, width).withColumn("parent", F.shiftright("node", FAN_BITS))
@@ -264,7 +292,7 @@ def candidate_pairs(blocks: DataFrame, k: int, width: int) -> DataFrame:
             "q_block", "q_lo", "q_hi", "reach", F.col("node").alias("at"), "n",
             _box_gap(width).alias("gap"), _box_span(width).alias("span"),
         )
-        if some_unbounded:
+        if blocks.some_unbounded:
             reached = _bound_by_boxes(reached, k)
         frontier = reached.where("gap <= reach").select("q_block", "q_lo", "q_hi", "reach", "at")
     return frontier.select("q_block", F.col("at").alias("k_block"), "reach")
@@ -311,10 +339,10 @@ def _bound_by_boxes(reached: DataFrame, k: int) -> DataFrame:
     return reached.join(caps, "q_block").withColumn("reach", F.least("reach", "cap")).drop("cap")
 
 
-def nearest_in_pairs(blocks: DataFrame, pairs: DataFrame, k: int, width: int) -> DataFrame:
+def nearest_in_pairs(blocks: Blocks, pairs: DataFrame, k: int, width: int) -> DataFrame:
     """Up to k nearest known rows per missing row within each pair of blocks."""
-    asked = blocks.where("m > 0").select(F.col("block").alias("q_block"), "q_ids", "q_bounds", "q_coords")
-    known = blocks.where("n > 0").select(F.col("block").alias("k_block"), "ids", "vals", "coords", "lo", "hi")
+    asked = blocks.table.where("m > 0").select(F.col("block").alias("q_block"), "q_ids", "q_bounds", "q_coords")
+    known = blocks.table.where("n > 0").select(F.col("block").alias("k_block"), "ids", "vals", "coords", "lo", "hi")
     # The lighter missing side travels to the known side, which moves only once.
     work = pairs.join(asked, "q_block").join(known, "k_block").drop("q_block", "k_block")
     return work.mapInArrow(

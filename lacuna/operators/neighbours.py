@@ -58,7 +58,9 @@ def nearest(
     points = feature_array(df, features, target, row_id)
     width = _width(df, features)
     known = _lowest_ids_per_place(points.where(F.col("value").isNotNull()), k)
-    blocks = make_blocks(known, points.where(F.col("value").isNull()), k, width, rows_per_block)
+    blocks = make_blocks(points, known, k, width, rows_per_block)
+    if blocks.missing_rows and not blocks.known_rows:
+        raise ValueError(f"{target!r} is missing in every usable row, so there is nothing to impute from")
     found = nearest_in_pairs(blocks, candidate_pairs(blocks, k, width), k, width)
     by_distance = Window.partitionBy("line_id").orderBy("d2", "neighbour_id")
     return found.withColumn("rank", F.row_number().over(by_distance)).where(F.col("rank") <= k)
@@ -69,7 +71,7 @@ def _width(df: DataFrame, features: Sequence[str] | str) -> int:
         return len(features)
     if not df.schema[features].dataType.typeName() == "array":
         return 1
-    widths = df.agg(F.min(F.size(features)), F.max(F.size(features))).where(F.lit(True)).first()
+    widths = df.where(F.col(features).isNotNull()).agg(F.min(F.size(features)), F.max(F.size(features))).first()
     if widths[0] != widths[1]:
         raise ValueError(f"{features!r} holds arrays of {widths[0]} to {widths[1]} values")
     return widths[0]
