@@ -1,5 +1,6 @@
 """Cleaning, erasing, imputing and scoring."""
 
+from .classify import forest_impute, impute_by, perceptron_impute, plan_training, tree_impute
 from .clean import cast_features, feature_array, filter_numeric, project_attributes
 from .missing import erase, erase_exact, erased_rows, exactly_erased_rows, in_training_part, split
 from .neighbours import distance_to_row, knn_impute, nearest, votes
@@ -14,13 +15,18 @@ __all__ = [
     "exactly_erased_rows",
     "feature_array",
     "filter_numeric",
+    "forest_impute",
+    "impute_by",
     "in_training_part",
     "knn_impute",
     "nearest",
+    "perceptron_impute",
+    "plan_training",
     "project_attributes",
     "score_codes",
     "score_detail",
     "split",
     "summarize",
+    "tree_impute",
     "votes",
 ]
