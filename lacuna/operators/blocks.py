@@ -279,17 +279,22 @@ def candidate_pairs(blocks: Blocks, k: int, width: int) -> DataFrame:
     ``reach`` is the squared distance beyond which no row of the pair matters.
     """
     top = blocks.top
+    top_shift = (max(top.bit_length() - 1, 0) // FAN_BITS) * FAN_BITS
+    # The walk starts at the few nodes of the topmost level.
+    first_nodes = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(top >> top_shift).cast("bigint")))
     frontier = blocks.table.where("m > 0").select(
-        F.col("block").alias("q_block"), "q_lo", "q_hi", F.col("bound").alias("reach"), F.lit(0).cast("bigint").alias("at")
+        F.col("block").alias("q_block"), "q_lo", "q_hi", F.col("bound").alias("reach"), first_nodes.alias("at")
+    )
+    leaves = blocks.table.where("n > 0").select(
+        F.col("block").alias("node"), F.col("n").cast("bigint").alias("n"), "lo", "hi"
     )
-    leaves = blocks.table.where("n > 0").select(F.col("block").alias("node"), F.col("n").cast("bigint").alias("n"), "lo", "hi")
-    top_shift = (max(top.bit_length() - 1, 0) // FAN_BITS) * FAN_BITS
     for shift in range(top_shift, -1, -FAN_BITS):
-        nodes = _nodes_at(leaves, shift, width).withColumn("parent", F.shiftright("node", FAN_BITS))
+        nodes = _nodes_at(leaves, shift, width)
         # At most this many nodes can exist at this height, whatever the data.
         if ((top >> shift) + 1) * (16 * width + 64) <= BROADCAST_BYTES:
             nodes = F.broadcast(nodes)
-        reached = frontier.join(nodes, F.col("at") == F.col("parent")).select(
+        found_by = F.col("node") if shift == top_shift else F.shiftright("node", FAN_BITS)
+        reached = frontier.join(nodes, F.col("at") == found_by).select(
             "q_block", "q_lo", "q_hi", "reach", F.col("node").alias("at"), "n",
             _box_gap().alias("gap"), _box_span().alias("span"),
         )
