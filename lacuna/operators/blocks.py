@@ -8,7 +8,10 @@ Exact nearest neighbours without comparing all pairs:
    rows, and for each missing row a distance within which k known rows are
    certain to lie (measured on its neighbours along the curve);
 3. blocks are grouped into a tree of boxes, and the missing side of each block
-   walks down it, keeping a branch only if its box comes within that distance.
+   walks down it, keeping a branch only if its box comes within that distance;
+4. a missing row far from everything would widen the box and distance of its
+   whole block, so it gets a block to itself, and its distance is tightened on
+   the boxes it meets on the way down.
 
 Skipping a branch never loses a neighbour. Sums run in feature order and
 rounding is monotone, so a box distance never exceeds the distance of a row
@@ -27,6 +30,9 @@ from pyspark.sql import functions as F
 from lacuna.session import write_and_reread
 
 ROWS_PER_BLOCK = 512
+# A missing row stands apart when its squared distance is this many times the
+# median of its block.
+APART = 16.0
 # Known rows looked at on each side of a missing row along the curve.
 CURVE_REACH = 64
 CURVE_BITS = 62
@@ -39,7 +45,7 @@ BROADCAST_BYTES = 8 << 20
 BLOCK_SCHEMA = """
     part int, seq bigint, n int, m int,
     lo array<double>, hi array<double>, q_lo array<double>, q_hi array<double>,
-    bound double,
+    bound double, loose boolean,
     ids array<bigint>, vals array<string>, coords array<double>,
     q_ids array<bigint>, q_bounds array<double>, q_coords array<double>
 """
@@ -53,7 +59,7 @@ class Blocks:
     top: int
     known_rows: int
     missing_rows: int
-    some_unbounded: bool
+    some_loose: bool
 
 
 def make_blocks(points: DataFrame, known: DataFrame, k: int, width: int, rows_per_block: int = ROWS_PER_BLOCK) -> Blocks:
@@ -81,7 +87,7 @@ def make_blocks(points: DataFrame, known: DataFrame, k: int, width: int, rows_pe
         F.coalesce(F.max("seq"), F.lit(0)).alias("seq"),
         F.coalesce(F.sum("n"), F.lit(0)).alias("known"),
         F.coalesce(F.sum("m"), F.lit(0)).alias("missing"),
-        F.count_if(F.col("bound") == float("inf")).alias("unbounded"),
+        F.count_if("loose").alias("loose"),
     ).first()
     span = 1 << int(facts["seq"]).bit_length()
     return Blocks(
@@ -89,7 +95,7 @@ def make_blocks(points: DataFrame, known: DataFrame, k: int, width: int, rows_pe
         top=facts["part"] * span + facts["seq"],
         known_rows=facts["known"],
         missing_rows=facts["missing"],
-        some_unbounded=facts["unbounded"] > 0,
+        some_loose=facts["loose"] > 0,
     )
 
 
@@ -184,22 +190,33 @@ def _block_packer(k: int, width: int, rows_per_block: int, cell_shift: int):
             return rows.min(axis=0).tolist(), rows.max(axis=0).tolist()
         return None, None
 
-    def describe(part, seq, ids, values, rows, is_known, limits):
-        mine = np.flatnonzero(is_known)
-        # Ascending ids make "first column" the same as "lowest id" later on.
-        mine = mine[np.argsort(ids[mine], kind="stable")]
-        asked = np.flatnonzero(~is_known)
+    def describe(part, seq, mine, asked, ids, values, rows, limits):
         lo, hi = box(rows[mine])
         q_lo, q_hi = box(rows[asked])
+        bound = float(limits[asked].max()) if len(asked) else None
         return {
             "part": part, "seq": seq, "n": len(mine), "m": len(asked),
             "lo": lo, "hi": hi, "q_lo": q_lo, "q_hi": q_hi,
-            "bound": float(limits[asked].max()) if len(asked) else None,
+            "bound": bound, "loose": bound == np.inf,
             "ids": ids[mine], "vals": values.take(pa.array(mine)).to_pylist(),
             "coords": rows[mine].ravel(),
             "q_ids": ids[asked], "q_bounds": limits[asked], "q_coords": rows[asked].ravel(),
         }
 
+    def blocks_of(part, seq, ids, values, rows, is_known, limits):
+        """One block for a run of rows, and one for each missing row that stands apart."""
+        mine = np.flatnonzero(is_known)
+        # Ascending ids make "first column" the same as "lowest id" later on.
+        mine = mine[np.argsort(ids[mine], kind="stable")]
+        asked = np.flatnonzero(~is_known)
+        apart = np.zeros(len(asked), dtype=bool)
+        if len(asked):
+            apart = limits[asked] > APART * np.median(limits[asked])
+        yield describe(part, seq, mine, asked[~apart], ids, values, rows, limits)
+        for step, row in enumerate(asked[apart], start=1):
+            single = describe(part, seq + step, mine[:0], np.array([row]), ids, values, rows, limits)
+            yield {**single, "loose": True}
+
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seq = 0
         waiting = None
@@ -239,8 +256,9 @@ def _block_packer(k: int, width: int, rows_per_block: int, cell_shift: int):
                 if a >= done:
                     break
                 cut = slice(a, b)
-                out.append(describe(part, seq, ids[cut], values[cut], rows[cut], is_known[cut], limits[cut]))
-                seq += 1
+                made = list(blocks_of(part, seq, ids[cut], values[cut], rows[cut], is_known[cut], limits[cut]))
+                out += made
+                seq += len(made)
             finished = rows[:done][is_known[:done]]
             earlier = np.concatenate([earlier, finished])[-window:]
             waiting = waiting.slice(done)
@@ -267,7 +285,7 @@ def _block_arrow_schema() -> pa.Schema:
     return pa.schema([
         ("part", pa.int32()), ("seq", pa.int64()), ("n", pa.int32()), ("m", pa.int32()),
         ("lo", doubles), ("hi", doubles), ("q_lo", doubles), ("q_hi", doubles),
-        ("bound", pa.float64()),
+        ("bound", pa.float64()), ("loose", pa.bool_()),
         ("ids", longs), ("vals", pa.list_(pa.string())), ("coords", doubles),
         ("q_ids", longs), ("q_bounds", doubles), ("q_coords", doubles),
     ])
@@ -278,11 +296,20 @@ def candidate_pairs(blocks: Blocks, k: int, width: int) -> DataFrame:
 
     ``reach`` is the squared distance beyond which no row of the pair matters.
     """
+    asking = blocks.table.where("m > 0")
+    pairs = _walk(asking.where("NOT loose"), blocks, k, width, tighten=False)
+    if blocks.some_loose:
+        pairs = pairs.unionByName(_walk(asking.where("loose"), blocks, k, width, tighten=True))
+    return pairs
+
+
+def _walk(asking: DataFrame, blocks: Blocks, k: int, width: int, tighten: bool) -> DataFrame:
+    """Descend from the top of the tree to the blocks, one join per level."""
     top = blocks.top
     top_shift = (max(top.bit_length() - 1, 0) // FAN_BITS) * FAN_BITS
     # The walk starts at the few nodes of the topmost level.
     first_nodes = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(top >> top_shift).cast("bigint")))
-    frontier = blocks.table.where("m > 0").select(
+    frontier = asking.select(
         F.col("block").alias("q_block"), "q_lo", "q_hi", F.col("bound").alias("reach"), first_nodes.alias("at")
     )
     leaves = blocks.table.where("n > 0").select(
@@ -298,7 +325,7 @@ def candidate_pairs(blocks: Blocks, k: int, width: int) -> DataFrame:
             "q_block", "q_lo", "q_hi", "reach", F.col("node").alias("at"), "n",
             _box_gap().alias("gap"), _box_span().alias("span"),
         )
-        if blocks.some_unbounded:
+        if tighten:
             reached = _bound_by_boxes(reached, k)
         frontier = reached.where("gap <= reach").select("q_block", "q_lo", "q_hi", "reach", "at")
     return frontier.select("q_block", F.col("at").alias("k_block"), "reach")
@@ -342,11 +369,7 @@ def _box_span() -> Column:
 
 
 def _bound_by_boxes(reached: DataFrame, k: int) -> DataFrame:
-    """Tighten ``reach`` to the nearest node that holds k known rows in full.
-
-    Needed only where the rows along the curve gave no bound, as in a long
-    stretch of missing rows.
-    """
+    """Tighten ``reach`` to the nearest node that holds k known rows in full."""
     caps = reached.groupBy("q_block").agg(F.min(F.when(F.col("n") >= k, F.col("span"))).alias("cap"))
     return reached.join(caps, "q_block").withColumn("reach", F.least("reach", "cap")).drop("cap")
 

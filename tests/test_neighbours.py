@@ -92,26 +92,51 @@ def test_missing_rows_far_from_any_known(spark):
     check(spark, np.vstack([far, near]), labels, 5, 4)
 
 
+def with_blocks(monkeypatch, change):
+    """Let ``change`` alter the block table before the search."""
+    make = block_module.make_blocks
+
+    def changed(*args, **kwargs):
+        made = make(*args, **kwargs)
+        return block_module.Blocks(change(made.table), made.top, made.known_rows, made.missing_rows, True)
+
+    monkeypatch.setattr("lacuna.operators.neighbours.make_blocks", changed)
+
+
 def test_box_bounds_alone_are_exact(spark, monkeypatch):
     """Without bounds from the curve the tree of boxes has to give them."""
+    infinite = F.lit(float("inf"))
+    with_blocks(monkeypatch, lambda table: table.withColumns(
+        {"bound": infinite, "loose": F.lit(True), "q_bounds": F.transform("q_bounds", lambda _: infinite)}
+    ))
     rng = np.random.default_rng(7)
-    rows, labels = rng.normal(size=(600, 2)), labelled(rng, 600, 0.2)
-    df = frame(spark, rows, labels)
-    make = block_module.make_blocks
+    check(spark, rng.normal(size=(600, 2)), labelled(rng, 600, 0.2), 5, 8)
 
-    def unbounded(*args, **kwargs):
-        made = make(*args, **kwargs)
-        infinite = F.lit(float("inf"))
-        table = made.table.withColumns(
-            {"bound": infinite, "q_bounds": F.transform("q_bounds", lambda _: infinite)}
-        )
-        return block_module.Blocks(table, made.top, made.known_rows, made.missing_rows, True)
 
-    monkeypatch.setattr("lacuna.operators.neighbours.make_blocks", unbounded)
-    got = {}
-    for r in nearest(df, "e", "t", 5, rows_per_block=8).orderBy("line_id", "rank").collect():
-        got.setdefault(r.line_id, []).append((r.neighbour_id, r.value, r.d2))
-    assert got == brute(rows, labels, 5)
+def test_shuffle_joins_instead_of_broadcasts(spark, monkeypatch):
+    monkeypatch.setattr(block_module, "BROADCAST_BYTES", 0)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        rng = np.random.default_rng(12)
+        check(spark, rng.normal(size=(600, 2)), labelled(rng, 600, 0.2), 5, 8)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_missing_rows_that_stand_apart_do_not_widen_their_block(spark):
+    rng = np.random.default_rng(13)
+    rows = rng.normal(size=(2000, 2))
+    labels = labelled(rng, 2000, 0.2)
+    for i in rng.choice([i for i, label in enumerate(labels) if label is None], 15, replace=False):
+        rows[i] *= 1000
+    df = frame(spark, rows, labels)
+    points = df.select("line_id", F.col("t").alias("value"), F.col("e").alias("features"))
+    made = block_module.make_blocks(points, points.where("value IS NOT NULL"), 5, 2, 32)
+    assert made.some_loose
+    pairs = block_module.candidate_pairs(made, 5, 2)
+    per_block = pairs.groupBy("q_block").count().agg(F.avg("count")).first()[0]
+    assert per_block < 12
+    check(spark, rows, labels, 5, 32)
 
 
 def test_many_features(spark):
