@@ -36,8 +36,15 @@ def _lowest_ids_per_place(known: DataFrame, k: int) -> DataFrame:
     before the shuffle too, so a place that holds a third of all rows sends at
     most k rows per task.
     """
-    at_place = Window.partitionBy("features").orderBy("line_id")
-    return known.withColumn("rank", F.row_number().over(at_place)).where(F.col("rank") <= k).drop("rank")
+    # Leading with a hash lets Spark sort by a number and look at the arrays
+    # only where two hashes are equal.
+    at_place = Window.partitionBy("place", "features").orderBy("line_id")
+    return (
+        known.withColumn("place", F.xxhash64("features"))
+        .withColumn("rank", F.row_number().over(at_place))
+        .where(F.col("rank") <= k)
+        .drop("place", "rank")
+    )
 
 
 def nearest(
