@@ -9,9 +9,8 @@ Exact nearest neighbours without comparing all pairs:
    certain to lie (measured on its neighbours along the curve);
 3. blocks are grouped into a tree of boxes, and the missing side of each block
    walks down it, keeping a branch only if its box comes within that distance;
-4. a missing row far from everything would widen the box and distance of its
-   whole block, so it gets a block to itself, and its distance is tightened on
-   the boxes it meets on the way down.
+4. where a block's missing rows lie so wide apart that many branches remain,
+   as around a dense cluster, each of them walks down the tree by itself.
 
 Skipping a branch never loses a neighbour. Sums run in feature order and
 rounding is monotone, so a box distance never exceeds the distance of a row
@@ -24,28 +23,27 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lacuna.session import write_and_reread
 
 ROWS_PER_BLOCK = 512
-# A missing row stands apart when its squared distance is this many times the
-# median of its block.
-APART = 16.0
 # Known rows looked at on each side of a missing row along the curve.
 CURVE_REACH = 64
 CURVE_BITS = 62
 QUANTILE_STEPS = 128
 # A tree node has at most 2**FAN_BITS children.
 FAN_BITS = 5
+# A block that keeps more branches than this at any level sends its rows singly.
+BRANCHES = 256
 # Node boxes are broadcast up to this many bytes and joined by shuffle beyond.
 BROADCAST_BYTES = 8 << 20
 
 BLOCK_SCHEMA = """
     part int, seq bigint, n int, m int,
     lo array<double>, hi array<double>, q_lo array<double>, q_hi array<double>,
-    bound double, loose boolean,
+    bound double,
     ids array<bigint>, vals array<string>, coords array<double>,
     q_ids array<bigint>, q_bounds array<double>, q_coords array<double>
 """
@@ -59,7 +57,6 @@ class Blocks:
     top: int
     known_rows: int
     missing_rows: int
-    some_loose: bool
 
 
 def make_blocks(points: DataFrame, known: DataFrame, k: int, width: int, rows_per_block: int = ROWS_PER_BLOCK) -> Blocks:
@@ -87,7 +84,6 @@ def make_blocks(points: DataFrame, known: DataFrame, k: int, width: int, rows_pe
         F.coalesce(F.max("seq"), F.lit(0)).alias("seq"),
         F.coalesce(F.sum("n"), F.lit(0)).alias("known"),
         F.coalesce(F.sum("m"), F.lit(0)).alias("missing"),
-        F.count_if("loose").alias("loose"),
     ).first()
     span = 1 << int(facts["seq"]).bit_length()
     return Blocks(
@@ -95,7 +91,6 @@ def make_blocks(points: DataFrame, known: DataFrame, k: int, width: int, rows_pe
         top=facts["part"] * span + facts["seq"],
         known_rows=facts["known"],
         missing_rows=facts["missing"],
-        some_loose=facts["loose"] > 0,
     )
 
 
@@ -190,33 +185,22 @@ def _block_packer(k: int, width: int, rows_per_block: int, cell_shift: int):
             return rows.min(axis=0).tolist(), rows.max(axis=0).tolist()
         return None, None
 
-    def describe(part, seq, mine, asked, ids, values, rows, limits):
+    def describe(part, seq, ids, values, rows, is_known, limits):
+        mine = np.flatnonzero(is_known)
+        # Ascending ids make "first column" the same as "lowest id" later on.
+        mine = mine[np.argsort(ids[mine], kind="stable")]
+        asked = np.flatnonzero(~is_known)
         lo, hi = box(rows[mine])
         q_lo, q_hi = box(rows[asked])
-        bound = float(limits[asked].max()) if len(asked) else None
         return {
             "part": part, "seq": seq, "n": len(mine), "m": len(asked),
             "lo": lo, "hi": hi, "q_lo": q_lo, "q_hi": q_hi,
-            "bound": bound, "loose": bound == np.inf,
+            "bound": float(limits[asked].max()) if len(asked) else None,
             "ids": ids[mine], "vals": values.take(pa.array(mine)).to_pylist(),
             "coords": rows[mine].ravel(),
             "q_ids": ids[asked], "q_bounds": limits[asked], "q_coords": rows[asked].ravel(),
         }
 
-    def blocks_of(part, seq, ids, values, rows, is_known, limits):
-        """One block for a run of rows, and one for each missing row that stands apart."""
-        mine = np.flatnonzero(is_known)
-        # Ascending ids make "first column" the same as "lowest id" later on.
-        mine = mine[np.argsort(ids[mine], kind="stable")]
-        asked = np.flatnonzero(~is_known)
-        apart = np.zeros(len(asked), dtype=bool)
-        if len(asked):
-            apart = limits[asked] > APART * np.median(limits[asked])
-        yield describe(part, seq, mine, asked[~apart], ids, values, rows, limits)
-        for step, row in enumerate(asked[apart], start=1):
-            single = describe(part, seq + step, mine[:0], np.array([row]), ids, values, rows, limits)
-            yield {**single, "loose": True}
-
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seq = 0
         waiting = None
@@ -256,9 +240,8 @@ def _block_packer(k: int, width: int, rows_per_block: int, cell_shift: int):
                 if a >= done:
                     break
                 cut = slice(a, b)
-                made = list(blocks_of(part, seq, ids[cut], values[cut], rows[cut], is_known[cut], limits[cut]))
-                out += made
-                seq += len(made)
+                out.append(describe(part, seq, ids[cut], values[cut], rows[cut], is_known[cut], limits[cut]))
+                seq += 1
             finished = rows[:done][is_known[:done]]
             earlier = np.concatenate([earlier, finished])[-window:]
             waiting = waiting.slice(done)
@@ -285,50 +268,100 @@ def _block_arrow_schema() -> pa.Schema:
     return pa.schema([
         ("part", pa.int32()), ("seq", pa.int64()), ("n", pa.int32()), ("m", pa.int32()),
         ("lo", doubles), ("hi", doubles), ("q_lo", doubles), ("q_hi", doubles),
-        ("bound", pa.float64()), ("loose", pa.bool_()),
+        ("bound", pa.float64()),
         ("ids", longs), ("vals", pa.list_(pa.string())), ("coords", doubles),
         ("q_ids", longs), ("q_bounds", doubles), ("q_coords", doubles),
     ])
 
 
 def candidate_pairs(blocks: Blocks, k: int, width: int) -> DataFrame:
-    """``(q_block, k_block, reach)``: every pair that may hold a k-nearest row.
+    """``(q_block, k_block, picks)``: every pair that may hold a k-nearest row.
 
-    ``reach`` is the squared distance beyond which no row of the pair matters.
+    ``picks`` lists the missing rows to compare, as position in the block and
+    squared distance beyond which nothing matters; null stands for all rows.
     """
     asking = blocks.table.where("m > 0")
-    pairs = _walk(asking.where("NOT loose"), blocks, k, width, tighten=False)
-    if blocks.some_loose:
-        pairs = pairs.unionByName(_walk(asking.where("loose"), blocks, k, width, tighten=True))
-    return pairs
-
-
-def _walk(asking: DataFrame, blocks: Blocks, k: int, width: int, tighten: bool) -> DataFrame:
-    """Descend from the top of the tree to the blocks, one join per level."""
-    top = blocks.top
-    top_shift = (max(top.bit_length() - 1, 0) // FAN_BITS) * FAN_BITS
-    # The walk starts at the few nodes of the topmost level.
-    first_nodes = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(top >> top_shift).cast("bigint")))
-    frontier = asking.select(
-        F.col("block").alias("q_block"), "q_lo", "q_hi", F.col("bound").alias("reach"), first_nodes.alias("at")
+    together = write_and_reread(_block_walk(asking, blocks, k, width), "pairs")
+    pairs = together.withColumn("picks", F.lit(None).cast("array<struct<pos: int, reach: double>>"))
+    # A block that was followed to the end has at least one pair.
+    left_over = asking.join(together, F.col("block") == F.col("q_block"), "left_anti")
+    if left_over.isEmpty():
+        return pairs
+    return pairs.unionByName(_row_walk(left_over, blocks, k, width))
+
+
+def _block_walk(asking: DataFrame, blocks: Blocks, k: int, width: int) -> DataFrame:
+    """``(q_block, k_block)`` for the blocks that stay with few branches all the way."""
+    frontier = asking.select(F.col("block").alias("q_block"), "q_lo", "q_hi", F.col("bound").alias("reach"))
+    frontier = frontier.withColumn("at", _first_nodes(blocks))
+    # No group outgrows BRANCHES * 2**FAN_BITS rows. With broadcast nodes the
+    # rows stay partitioned by block, so all levels together shuffle once.
+    branches = Window.partitionBy("q_block")
+    for nodes, found_by in _levels(blocks, width):
+        reached = frontier.join(nodes, F.col("at") == found_by).select(
+            "q_block", "q_lo", "q_hi", F.col("node").alias("at"),
+            _box_gap().alias("gap"),
+            F.least("reach", F.min(F.when(F.col("n") >= k, _box_span())).over(branches)).alias("reach"),
+        )
+        frontier = (
+            reached.where("gap <= reach")
+            .withColumn("open", F.count("*").over(branches))
+            .where(F.col("open") <= BRANCHES)
+            .drop("gap", "open")
+        )
+    return frontier.select("q_block", F.col("at").alias("k_block"))
+
+
+def _row_walk(asking: DataFrame, blocks: Blocks, k: int, width: int) -> DataFrame:
+    """``(q_block, k_block, picks)`` with every missing row walking down by itself."""
+    point = F.slice("q_coords", F.col("pos") * width + 1, F.lit(width))
+    frontier = (
+        asking.select(F.col("block").alias("q_block"), "q_coords", F.posexplode("q_bounds").alias("pos", "reach"))
+        .select("q_block", "pos", "reach", point.alias("q_lo"))
+        .withColumns({"q_hi": F.col("q_lo"), "at": _first_nodes(blocks)})
     )
+    row = ["q_block", "pos"]
+    for nodes, found_by in _levels(blocks, width):
+        reached = frontier.join(nodes, F.col("at") == found_by).select(
+            *row, "q_lo", "q_hi", "reach", F.col("node").alias("at"), _box_gap().alias("gap"),
+            F.when(F.col("n") >= k, _box_span()).alias("span"),
+        )
+        # One row may reach every node when features are many: an aggregate and
+        # a join spread that over tasks, where a window would not.
+        caps = reached.groupBy(*row).agg(F.min("span").alias("cap"))
+        frontier = (
+            reached.join(caps, row)
+            .withColumn("reach", F.least("reach", "cap"))
+            .where("gap <= reach")
+            .select(*row, "q_lo", "q_hi", "reach", "at")
+        )
+    # At most a block's worth of rows per pair.
+    return frontier.groupBy("q_block", F.col("at").alias("k_block")).agg(
+        F.collect_list(F.struct("pos", "reach")).alias("picks")
+    )
+
+
+def _first_nodes(blocks: Blocks) -> Column:
+    """The few nodes at the top of the tree, one row each."""
+    last = blocks.top >> _top_shift(blocks)
+    return F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(last).cast("bigint")))
+
+
+def _top_shift(blocks: Blocks) -> int:
+    return (max(blocks.top.bit_length() - 1, 0) // FAN_BITS) * FAN_BITS
+
+
+def _levels(blocks: Blocks, width: int):
+    """``(nodes, key)`` per level, top first; ``key`` is what the level above calls ``at``."""
     leaves = blocks.table.where("n > 0").select(
         F.col("block").alias("node"), F.col("n").cast("bigint").alias("n"), "lo", "hi"
     )
-    for shift in range(top_shift, -1, -FAN_BITS):
+    for shift in range(_top_shift(blocks), -1, -FAN_BITS):
         nodes = _nodes_at(leaves, shift, width)
         # At most this many nodes can exist at this height, whatever the data.
-        if ((top >> shift) + 1) * (16 * width + 64) <= BROADCAST_BYTES:
+        if ((blocks.top >> shift) + 1) * (16 * width + 64) <= BROADCAST_BYTES:
             nodes = F.broadcast(nodes)
-        found_by = F.col("node") if shift == top_shift else F.shiftright("node", FAN_BITS)
-        reached = frontier.join(nodes, F.col("at") == found_by).select(
-            "q_block", "q_lo", "q_hi", "reach", F.col("node").alias("at"), "n",
-            _box_gap().alias("gap"), _box_span().alias("span"),
-        )
-        if tighten:
-            reached = _bound_by_boxes(reached, k)
-        frontier = reached.where("gap <= reach").select("q_block", "q_lo", "q_hi", "reach", "at")
-    return frontier.select("q_block", F.col("at").alias("k_block"), "reach")
+        yield nodes, F.col("node") if shift == _top_shift(blocks) else F.shiftright("node", FAN_BITS)
 
 
 def _nodes_at(leaves: DataFrame, shift: int, width: int) -> DataFrame:
@@ -368,12 +401,6 @@ def _box_span() -> Column:
     return _sum_over_features(span)
 
 
-def _bound_by_boxes(reached: DataFrame, k: int) -> DataFrame:
-    """Tighten ``reach`` to the nearest node that holds k known rows in full."""
-    caps = reached.groupBy("q_block").agg(F.min(F.when(F.col("n") >= k, F.col("span"))).alias("cap"))
-    return reached.join(caps, "q_block").withColumn("reach", F.least("reach", "cap")).drop("cap")
-
-
 def nearest_in_pairs(blocks: Blocks, pairs: DataFrame, k: int, width: int) -> DataFrame:
     """Up to k nearest known rows per missing row within each pair of blocks."""
     asked = blocks.table.where("m > 0").select(F.col("block").alias("q_block"), "q_ids", "q_bounds", "q_coords")
@@ -399,8 +426,13 @@ def _pair_search(k: int, width: int):
                 return column[name][i].values.to_numpy(zero_copy_only=False)
 
             for i in range(batch.num_rows):
-                limits = np.minimum(numbers("q_bounds", i), column["reach"][i].as_py())
+                limits = numbers("q_bounds", i)
                 queries = numbers("q_coords", i).reshape(-1, width)
+                q_ids = numbers("q_ids", i)
+                if column["picks"][i].is_valid:
+                    picks = column["picks"][i].values
+                    chosen = picks.field("pos").to_numpy()
+                    queries, q_ids, limits = queries[chosen], q_ids[chosen], picks.field("reach").to_numpy()
                 lo, hi = numbers("lo", i), numbers("hi", i)
                 gaps = np.zeros(len(queries))
                 for f in range(width):
@@ -426,7 +458,7 @@ def _pair_search(k: int, width: int):
                 if len(row):
                     yield pa.RecordBatch.from_arrays(
                         [
-                            pa.array(numbers("q_ids", i)[open_rows[row]]),
+                            pa.array(q_ids[open_rows[row]]),
                             pa.array(numbers("ids", i)[col]),
                             column["vals"][i].values.take(pa.array(col)),
                             pa.array(d2[row, col]),

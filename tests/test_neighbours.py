@@ -1,5 +1,7 @@
 """k-NN against brute force, on data that is hard for blocks."""
 
+from dataclasses import replace
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -92,27 +94,35 @@ def test_missing_rows_far_from_any_known(spark):
     check(spark, np.vstack([far, near]), labels, 5, 4)
 
 
-def with_blocks(monkeypatch, change):
-    """Let ``change`` alter the block table before the search."""
+def test_box_bounds_alone_are_exact(spark, monkeypatch):
+    """Without bounds from the curve the tree of boxes has to give them."""
     make = block_module.make_blocks
+    infinite = F.lit(float("inf"))
 
-    def changed(*args, **kwargs):
+    def unbounded(*args, **kwargs):
         made = make(*args, **kwargs)
-        return block_module.Blocks(change(made.table), made.top, made.known_rows, made.missing_rows, True)
+        table = made.table.withColumns({"bound": infinite, "q_bounds": F.transform("q_bounds", lambda _: infinite)})
+        return replace(made, table=table)
 
-    monkeypatch.setattr("lacuna.operators.neighbours.make_blocks", changed)
-
-
-def test_box_bounds_alone_are_exact(spark, monkeypatch):
-    """Without bounds from the curve the tree of boxes has to give them."""
-    infinite = F.lit(float("inf"))
-    with_blocks(monkeypatch, lambda table: table.withColumns(
-        {"bound": infinite, "loose": F.lit(True), "q_bounds": F.transform("q_bounds", lambda _: infinite)}
-    ))
+    monkeypatch.setattr("lacuna.operators.neighbours.make_blocks", unbounded)
     rng = np.random.default_rng(7)
     check(spark, rng.normal(size=(600, 2)), labelled(rng, 600, 0.2), 5, 8)
 
 
+@pytest.mark.parametrize("branches", [0, 3])
+def test_rows_that_walk_by_themselves(spark, monkeypatch, branches):
+    monkeypatch.setattr(block_module, "BRANCHES", branches)
+    rng = np.random.default_rng(14)
+    check(spark, rng.normal(size=(600, 2)), labelled(rng, 600, 0.2), 5, 16)
+
+
+def test_dense_cluster_inside_spread_out_rows(spark, monkeypatch):
+    monkeypatch.setattr(block_module, "BRANCHES", 20)
+    rng = np.random.default_rng(15)
+    rows = np.vstack([rng.random(size=(1000, 2)), 0.3 + 1e-9 * rng.random(size=(1000, 2))])
+    check(spark, rows, labelled(rng, 2000, 0.2), 5, 16)
+
+
 def test_shuffle_joins_instead_of_broadcasts(spark, monkeypatch):
     monkeypatch.setattr(block_module, "BROADCAST_BYTES", 0)
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
@@ -123,19 +133,12 @@ def test_shuffle_joins_instead_of_broadcasts(spark, monkeypatch):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
-def test_missing_rows_that_stand_apart_do_not_widen_their_block(spark):
+def test_missing_rows_far_outside(spark):
     rng = np.random.default_rng(13)
     rows = rng.normal(size=(2000, 2))
     labels = labelled(rng, 2000, 0.2)
     for i in rng.choice([i for i, label in enumerate(labels) if label is None], 15, replace=False):
         rows[i] *= 1000
-    df = frame(spark, rows, labels)
-    points = df.select("line_id", F.col("t").alias("value"), F.col("e").alias("features"))
-    made = block_module.make_blocks(points, points.where("value IS NOT NULL"), 5, 2, 32)
-    assert made.some_loose
-    pairs = block_module.candidate_pairs(made, 5, 2)
-    per_block = pairs.groupBy("q_block").count().agg(F.avg("count")).first()[0]
-    assert per_block < 12
     check(spark, rows, labels, 5, 32)
 
 
