@@ -20,6 +20,8 @@ inside the box, and the comparison is safe to the last bit.
 import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +36,10 @@ CURVE_REACH = 64
 CURVE_BITS = 62
 QUANTILE_STEPS = 128
 # A tree node has at most 2**FAN_BITS children.
-FAN_BITS = 5
+FAN_BITS = 4
+# Up to this many features, box distances are written out term by term, which
+# Spark compiles; beyond, they loop over arrays to keep the plan small.
+UNROLLED = 16
 # A block that keeps more branches than this at any level sends its rows singly.
 BRANCHES = 256
 # Node boxes are broadcast up to this many bytes and joined by shuffle beyond.
@@ -281,13 +286,21 @@ def candidate_pairs(blocks: Blocks, k: int, width: int) -> DataFrame:
     squared distance beyond which nothing matters; null stands for all rows.
     """
     asking = blocks.table.where("m > 0")
-    together = write_and_reread(_block_walk(asking, blocks, k, width), "pairs")
+    together = _write_spread(_block_walk(asking, blocks, k, width))
     pairs = together.withColumn("picks", F.lit(None).cast("array<struct<pos: int, reach: double>>"))
     # A block that was followed to the end has at least one pair.
     left_over = asking.join(together, F.col("block") == F.col("q_block"), "left_anti")
     if left_over.isEmpty():
         return pairs
-    return pairs.unionByName(_row_walk(left_over, blocks, k, width))
+    return pairs.unionByName(_write_spread(_row_walk(left_over, blocks, k, width)))
+
+
+def _write_spread(pairs: DataFrame) -> DataFrame:
+    """Write pairs evenly over files. They are few bytes but much work each, so
+    partitions sized by bytes would leave most cores idle."""
+    spark = pairs.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return write_and_reread(pairs.repartition(parts, "q_block", "k_block"), "pairs")
 
 
 def _block_walk(asking: DataFrame, blocks: Blocks, k: int, width: int) -> DataFrame:
@@ -300,8 +313,8 @@ def _block_walk(asking: DataFrame, blocks: Blocks, k: int, width: int) -> DataFr
     for nodes, found_by in _levels(blocks, width):
         reached = frontier.join(nodes, F.col("at") == found_by).select(
             "q_block", "q_lo", "q_hi", F.col("node").alias("at"),
-            _box_gap().alias("gap"),
-            F.least("reach", F.min(F.when(F.col("n") >= k, _box_span())).over(branches)).alias("reach"),
+            _box_gap(width).alias("gap"),
+            F.least("reach", F.min(F.when(F.col("n") >= k, _box_span(width))).over(branches)).alias("reach"),
         )
         frontier = (
             reached.where("gap <= reach")
@@ -323,11 +336,13 @@ def _row_walk(asking: DataFrame, blocks: Blocks, k: int, width: int) -> DataFram
     row = ["q_block", "pos"]
     for nodes, found_by in _levels(blocks, width):
         reached = frontier.join(nodes, F.col("at") == found_by).select(
-            *row, "q_lo", "q_hi", "reach", F.col("node").alias("at"), _box_gap().alias("gap"),
-            F.when(F.col("n") >= k, _box_span()).alias("span"),
+            *row, "q_lo", "q_hi", "reach", F.col("node").alias("at"), _box_gap(width).alias("gap"),
+            F.when(F.col("n") >= k, _box_span(width)).alias("span"),
         )
         # One row may reach every node when features are many: an aggregate and
-        # a join spread that over tasks, where a window would not.
+        # a join spread that over tasks, where a window would not. Written out,
+        # since both of them read it.
+        reached = write_and_reread(reached.where("gap <= reach"), "reached")
         caps = reached.groupBy(*row).agg(F.min("span").alias("cap"))
         frontier = (
             reached.join(caps, row)
@@ -375,30 +390,33 @@ def _nodes_at(leaves: DataFrame, shift: int, width: int) -> DataFrame:
     )
 
 
-def _sum_over_features(term: Callable[[Column], Column]) -> Column:
-    """Sum of ``term`` over both boxes' sides, taken feature by feature in order."""
-    sides = F.arrays_zip("q_lo", "q_hi", "lo", "hi")
-    return F.aggregate(sides, F.lit(0.0), lambda total, side: total + term(side))
+def _sum_over_features(term: Callable, width: int) -> Column:
+    """Sum of ``term`` over the sides of both boxes, feature by feature in order."""
+    names = ("q_lo", "q_hi", "lo", "hi")
+    if width <= UNROLLED:
+        sides = [{name: F.col(name)[i] for name in names} for i in range(width)]
+        return reduce(add, [term(side) for side in sides])
+    return F.aggregate(F.arrays_zip(*names), F.lit(0.0), lambda total, side: total + term(side))
 
 
-def _box_gap() -> Column:
+def _box_gap(width: int) -> Column:
     """Squared distance between the closest points of two boxes."""
 
     def gap(side):
         apart = F.greatest(side["q_lo"] - side["hi"], side["lo"] - side["q_hi"], F.lit(0.0))
         return apart * apart
 
-    return _sum_over_features(gap)
+    return _sum_over_features(gap, width)
 
 
-def _box_span() -> Column:
+def _box_span(width: int) -> Column:
     """Squared distance between the farthest points of two boxes."""
 
     def span(side):
         apart = F.greatest(side["q_hi"] - side["lo"], side["hi"] - side["q_lo"])
         return apart * apart
 
-    return _sum_over_features(span)
+    return _sum_over_features(span, width)
 
 
 def nearest_in_pairs(blocks: Blocks, pairs: DataFrame, k: int, width: int) -> DataFrame:
@@ -412,6 +430,15 @@ def nearest_in_pairs(blocks: Blocks, pairs: DataFrame, k: int, width: int) -> Da
     )
 
 
+def _gaps(rows: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """Squared distance of each row to a box, in the same order as everywhere."""
+    total = np.zeros(len(rows))
+    for f in range(rows.shape[1]):
+        apart = np.maximum(np.maximum(rows[:, f] - hi[f], lo[f] - rows[:, f]), 0.0)
+        total += apart * apart
+    return total
+
+
 def _pair_search(k: int, width: int):
     """Function for ``mapInArrow``: one input row per pair of blocks."""
     schema = pa.schema([
@@ -433,34 +460,38 @@ def _pair_search(k: int, width: int):
                     picks = column["picks"][i].values
                     chosen = picks.field("pos").to_numpy()
                     queries, q_ids, limits = queries[chosen], q_ids[chosen], picks.field("reach").to_numpy()
-                lo, hi = numbers("lo", i), numbers("hi", i)
-                gaps = np.zeros(len(queries))
-                for f in range(width):
-                    apart = np.maximum(np.maximum(queries[:, f] - hi[f], lo[f] - queries[:, f]), 0.0)
-                    gaps += apart * apart
-                open_rows = np.flatnonzero(gaps <= limits)
-                if not len(open_rows):
+                # Leave out rows beyond reach of the other side's box, on both sides.
+                near = np.flatnonzero(_gaps(queries, numbers("lo", i), numbers("hi", i)) <= limits)
+                if not len(near):
                     continue
-                queries, limits = queries[open_rows], limits[open_rows]
+                queries, q_ids, limits = queries[near], q_ids[near], limits[near]
                 known = numbers("coords", i).reshape(-1, width)
+                near = np.flatnonzero(_gaps(known, queries.min(axis=0), queries.max(axis=0)) <= limits.max())
+                if not len(near):
+                    continue
+                known = known[near]
                 d2 = np.zeros((len(queries), len(known)))
                 for f in range(width):
-                    apart = queries[:, f][:, None] - known[:, f]
-                    d2 += apart * apart
+                    apart = np.subtract.outer(queries[:, f], known[:, f])
+                    apart *= apart
+                    d2 += apart
                 inside = d2 <= limits[:, None]
-                if len(known) > k:
-                    kth = np.partition(d2, k - 1, axis=1)[:, k - 1][:, None]
-                    closer, level = d2 < kth, d2 == kth
+                # Where more than k qualify, keep the k nearest. Columns are in
+                # id order, so of equal distances the lowest ids take the room.
+                many = np.flatnonzero(inside.sum(axis=1) > k)
+                if len(many):
+                    part = d2[many]
+                    kth = np.partition(part, k - 1, axis=1)[:, k - 1][:, None]
+                    closer, level = part < kth, part == kth
                     room = k - closer.sum(axis=1, keepdims=True)
-                    # Columns are in id order, so the lowest ids take the room.
-                    inside &= closer | (level & (level.cumsum(axis=1) <= room))
-                row, col = np.nonzero(inside)
+                    inside[many] = closer | (level & (level.cumsum(axis=1) <= room))
+                row, col = np.divmod(np.flatnonzero(inside), len(known))
                 if len(row):
                     yield pa.RecordBatch.from_arrays(
                         [
-                            pa.array(q_ids[open_rows[row]]),
-                            pa.array(numbers("ids", i)[col]),
-                            column["vals"][i].values.take(pa.array(col)),
+                            pa.array(q_ids[row]),
+                            pa.array(numbers("ids", i)[near[col]]),
+                            column["vals"][i].values.take(pa.array(near[col])),
                             pa.array(d2[row, col]),
                         ],
                         schema=schema,
