@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from lacuna.session import write_and_reread
 
-ROWS_PER_BLOCK = 512
+ROWS_PER_BLOCK = 1024
 # Known rows looked at on each side of a missing row along the curve.
 CURVE_REACH = 64
 CURVE_BITS = 62
@@ -72,8 +72,9 @@ def make_blocks(points: DataFrame, known: DataFrame, k: int, width: int, rows_pe
     """
     rows, edges = _feature_quantiles(points, width)
     curve = _curve_position(edges, _curve_steps(edges))
-    # Blocks end where a cell of about four blocks ends, so none spans a jump.
-    cell_bits = max(0, int(math.log2(max(1, rows / rows_per_block))) - 2)
+    # Blocks end where a cell of about a block's size ends: where the curve
+    # jumps, a block across the jump would have a needlessly large box.
+    cell_bits = int(math.log2(max(1, rows / rows_per_block)))
     sorted_points = (
         known.unionByName(points.where(F.col("value").isNull()))
         .withColumn("z", curve("features"))
