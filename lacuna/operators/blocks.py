@@ -106,7 +106,7 @@ def _feature_quantiles(points: DataFrame, width: int) -> tuple[int, np.ndarray]:
     found = (
         points.select(F.posexplode("features").alias("feature", "v"))
         .groupBy("feature")
-        .agg(F.count("*").alias("rows"), F.percentile_approx("v", steps, 2000).alias("edges"))
+        .agg(F.count("*").alias("rows"), F.percentile_approx("v", steps, 1000).alias("edges"))
         .collect()
     )
     edges = np.zeros((width, QUANTILE_STEPS + 1))
@@ -287,20 +287,21 @@ def candidate_pairs(blocks: Blocks, k: int, width: int) -> DataFrame:
     squared distance beyond which nothing matters; null stands for all rows.
     """
     asking = blocks.table.where("m > 0")
-    together = _write_spread(_block_walk(asking, blocks, k, width))
+    together = _write_spread(_block_walk(asking, blocks, k, width), blocks)
     pairs = together.withColumn("picks", F.lit(None).cast("array<struct<pos: int, reach: double>>"))
     # A block that was followed to the end has at least one pair.
     left_over = asking.join(together, F.col("block") == F.col("q_block"), "left_anti")
     if left_over.isEmpty():
         return pairs
-    return pairs.unionByName(_write_spread(_row_walk(left_over, blocks, k, width)))
+    return pairs.unionByName(_write_spread(_row_walk(left_over, blocks, k, width), blocks))
 
 
-def _write_spread(pairs: DataFrame) -> DataFrame:
+def _write_spread(pairs: DataFrame, blocks: Blocks) -> DataFrame:
     """Write pairs evenly over files. They are few bytes but much work each, so
     partitions sized by bytes would leave most cores idle."""
     spark = pairs.sparkSession
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    cores = spark.sparkContext.defaultParallelism
+    parts = max(cores, min(int(spark.conf.get("spark.sql.shuffle.partitions")), blocks.top + 1))
     return write_and_reread(pairs.repartition(parts, "q_block", "k_block"), "pairs")
 
 
