@@ -74,10 +74,13 @@ def _candidates(docs: DataFrame, marks: DataFrame, lengths: list[int], window: i
     Each document also gets one row whose ``length`` is null.
     """
     words = docs.select("doc_id", _text_hash(), words_of(F.col("text")).alias("w"))
-    kinds = [
-        F.transform(_marks(F.col("w"), n, window, k), lambda gram, n=n: F.struct(F.lit(n).alias("length"), gram.alias("gram")))
-        for n in lengths
-    ]
+
+    def labelled(length):
+        return F.transform(
+            _marks(F.col("w"), length, window, k), lambda gram: F.struct(F.lit(length).alias("length"), gram.alias("gram"))
+        )
+
+    kinds = [labelled(n) for n in lengths]
     own = F.array(F.struct(F.lit(None).cast("int").alias("length"), F.lit(None).cast("long").alias("gram")))
     shared = marks.withColumn("shared", F.lit(True))
     if small:
