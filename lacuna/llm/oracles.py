@@ -1,5 +1,7 @@
 """The dealt operators as DuckDB SQL, where SQL can express them."""
 
+from .licenses import CONTAINMENT, PHRASES, TEMPLATES
+
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -29,5 +31,46 @@ FROM dw LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
 
+def _license_scan() -> str:
+    """Every line against every template, and every place against every phrase."""
+    templates = ", ".join(
+        f"({i}, '{label}', '{text}')"
+        for i, (label, text) in enumerate((label, text) for label, texts in sorted(TEMPLATES.items()) for text in texts)
+    )
+    phrases = ", ".join(f"('{phrase}', '{label}')" for phrase, label in PHRASES.items())
+    return rf"""
+WITH dw AS (SELECT doc_id, regexp_extract_all({LOWERED}, '{WORD}') AS w FROM documents),
+phrases AS (SELECT string_split(phrase, ' ') AS p, label FROM (VALUES {phrases}) AS v(phrase, label)),
+templates AS (SELECT id, label, list_distinct(regexp_extract_all(text, '{WORD}')) AS t FROM (VALUES {templates}) AS v(id, label, text)),
+lines AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS text FROM documents),
+blocks AS (SELECT doc_id, list_distinct(regexp_extract_all({LOWERED}, '{WORD}')) AS b FROM lines),
+met AS (
+    SELECT doc_id, label, len(list_intersect(b, t)) / len(t) AS share FROM blocks, templates
+    WHERE len(list_intersect(b, t)) >= ceil(len(t) * {CONTAINMENT} - 1e-9)
+),
+base AS (
+    SELECT doc_id, i - 1 AS place, label
+    FROM (SELECT doc_id, w, p, label, unnest(range(1, len(w) + 1)) AS i FROM dw, phrases) WHERE w[i:i + len(p) - 1] = p
+),
+per_base AS (
+    SELECT doc_id, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word,
+        string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels
+    FROM base GROUP BY doc_id
+),
+per_doc AS (
+    SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels
+    FROM (SELECT doc_id, label FROM met UNION ALL SELECT doc_id, label FROM base) GROUP BY doc_id
+),
+shares AS (SELECT doc_id, max(share) AS share FROM met GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word,
+    last_word::BIGINT AS last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
+    CASE WHEN n_base > 0 THEN 1.0::DOUBLE ELSE coalesce(share, 0.0)::DOUBLE END AS score
+FROM dw LEFT JOIN per_base USING (doc_id) LEFT JOIN per_doc USING (doc_id) LEFT JOIN shares USING (doc_id)
+"""
+
+
 def oracles():
-    return {"op5_decontamination": op5_decontamination}
+    return {
+        "op6_license_scan": _license_scan(),
+        "op5_decontamination": op5_decontamination,
+    }

@@ -1,6 +1,7 @@
 """The dealt operators as registered queries: ``(spark, folder) -> DataFrame``."""
 
 from .decontaminate import contamination
+from .licenses import scan_licenses
 from .sharding import shard_records
 from .text import table
 
@@ -21,8 +22,13 @@ def op5_decontamination(spark, folder):
     return contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+def op6_license_scan(spark, folder):
+    return scan_licenses(table(spark, folder, "documents"))
+
+
 def queries():
     return {
         "op4_sharding": op4_sharding,
         "op5_decontamination": op5_decontamination,
+        "op6_license_scan": op6_license_scan,
     }
