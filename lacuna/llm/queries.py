@@ -1,6 +1,7 @@
 """The dealt operators as registered queries: ``(spark, folder) -> DataFrame``."""
 
 from .decontaminate import contamination
+from .pages import extract_text
 from .licenses import scan_licenses
 from .sharding import shard_records
 from .text import table
@@ -26,9 +27,14 @@ def op6_license_scan(spark, folder):
     return scan_licenses(table(spark, folder, "documents"))
 
 
+def op9_html_extraction(spark, folder):
+    return extract_text(table(spark, folder, "pages"))
+
+
 def queries():
     return {
         "op4_sharding": op4_sharding,
         "op5_decontamination": op5_decontamination,
         "op6_license_scan": op6_license_scan,
+        "op9_html_extraction": op9_html_extraction,
     }
