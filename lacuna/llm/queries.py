@@ -1,7 +1,10 @@
 """The dealt operators as registered queries: ``(spark, folder) -> DataFrame``."""
 
+from pyspark.sql import functions as F
+
 from .decontaminate import contamination
 from .pages import extract_text
+from .langid import language_table
 from .licenses import scan_licenses
 from .sharding import shard_records
 from .text import table
@@ -9,9 +12,11 @@ from .text import table
 SHARDS = 40
 
 
-def op4_sharding(spark, folder):
-    from pyspark.sql import functions as F
+def op3_language_id(spark, folder):
+    return language_table(table(spark, folder, "documents"))
 
+
+def op4_sharding(spark, folder):
     placed = shard_records(table(spark, folder, "documents"), SHARDS)
     return placed.select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
@@ -33,6 +38,7 @@ def op9_html_extraction(spark, folder):
 
 def queries():
     return {
+        "op3_language_id": op3_language_id,
         "op4_sharding": op4_sharding,
         "op5_decontamination": op5_decontamination,
         "op6_license_scan": op6_license_scan,
