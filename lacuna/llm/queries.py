@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from .decontaminate import contamination
+from .order_minhash import near_duplicate_classes
 from .pages import extract_text
 from .langid import language_table
 from .licenses import scan_licenses
@@ -12,6 +13,11 @@ from .text import table
 SHARDS = 40
 
 
+def op2_minhash_near_dedup(spark, folder):
+    found = near_duplicate_classes(table(spark, folder, "documents"))
+    return found.select("doc_id", "class_id", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
+
+
 def op3_language_id(spark, folder):
     return language_table(table(spark, folder, "documents"))
 
@@ -38,6 +44,7 @@ def op9_html_extraction(spark, folder):
 
 def queries():
     return {
+        "op2_minhash_near_dedup": op2_minhash_near_dedup,
         "op3_language_id": op3_language_id,
         "op4_sharding": op4_sharding,
         "op5_decontamination": op5_decontamination,
