@@ -7,12 +7,18 @@ from .order_minhash import near_duplicate_classes
 from .pages import extract_text
 from .langid import language_table
 from .licenses import scan_licenses
+from .projection_forest import vector_links
 from .sharding import shard_records
+from .substrings import repeated_spans
 from .text import table
 
 SHARDS = 40
 
 
+def op1_substring_dedup(spark, folder):
+    return repeated_spans(table(spark, folder, "documents"))
+
+
 def op2_minhash_near_dedup(spark, folder):
     found = near_duplicate_classes(table(spark, folder, "documents"))
     return found.select("doc_id", "class_id", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
@@ -42,12 +48,18 @@ def op9_html_extraction(spark, folder):
     return extract_text(table(spark, folder, "pages"))
 
 
+def op10_embedding_near_dedup(spark, folder):
+    return vector_links(table(spark, folder, "embeddings"))
+
+
 def queries():
     return {
+        "op1_substring_dedup": op1_substring_dedup,
         "op2_minhash_near_dedup": op2_minhash_near_dedup,
         "op3_language_id": op3_language_id,
         "op4_sharding": op4_sharding,
         "op5_decontamination": op5_decontamination,
         "op6_license_scan": op6_license_scan,
         "op9_html_extraction": op9_html_extraction,
+        "op10_embedding_near_dedup": op10_embedding_near_dedup,
     }
