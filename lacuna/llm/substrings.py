@@ -19,11 +19,11 @@ from lacuna.session import write_and_reread
 
 from .shingles import mix, text_bytes
 
-LEAST, MOST = 32, 256
-#: A cut after one in 2**CUT_BITS places, so chunks hold about 64 bytes.
+LEAST, MOST = 16, 256
+#: A cut after one in 2**CUT_BITS places, so chunks hold about 48 bytes.
 CUT_BITS = 5
 #: Repeated bytes in a row that make a passage.
-PASSAGE = 96
+PASSAGE = 80
 _GEAR = (mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.uint32)
 _CHUNK = 1 << 20
 
@@ -85,7 +85,7 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ]
             owner = pa.array(np.repeat(np.arange(low, high), counts))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").take(owner), pa.array(starts), pa.array(ends), pa.array(digests, pa.binary())],
+                [batch.column("doc_id").take(owner), pa.array(starts.astype(np.int32)), pa.array(ends.astype(np.int32)), pa.array(digests, pa.binary())],
                 ["doc_id", "start", "end", "digest"],
             )
 
@@ -94,7 +94,7 @@ def text_chunks(docs: DataFrame) -> DataFrame:
     """doc_id, start, end (bytes), digest of every chunk of ``docs`` (doc_id, text); null and empty texts have none."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     read = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    return read.mapInArrow(_chunks, f"doc_id {kind}, start long, end long, digest binary")
+    return read.mapInArrow(_chunks, f"doc_id {kind}, start int, end int, digest binary")
 
 
 def repeated_spans(docs: DataFrame, passage: int = PASSAGE) -> DataFrame:
