@@ -11,8 +11,12 @@ from .projection_forest import vector_links
 from .sharding import shard_records
 from .substrings import repeated_spans
 from .text import table
+from .token_counts import count_tokens, read_vocabulary
 
 SHARDS = 40
+#: Folder of the public vocabulary files.
+TOKENIZERS = "/opt/tokenizers"
+VOCABULARY = "piece_bpe_32k.model"
 
 
 def op1_substring_dedup(spark, folder):
@@ -44,6 +48,10 @@ def op6_license_scan(spark, folder):
     return scan_licenses(table(spark, folder, "documents"))
 
 
+def op7_token_counts(spark, folder, vocabulary=f"{TOKENIZERS}/{VOCABULARY}"):
+    return count_tokens(table(spark, folder, "documents"), read_vocabulary(vocabulary))
+
+
 def op9_html_extraction(spark, folder):
     return extract_text(table(spark, folder, "pages"))
 
@@ -60,6 +68,7 @@ def queries():
         "op4_sharding": op4_sharding,
         "op5_decontamination": op5_decontamination,
         "op6_license_scan": op6_license_scan,
+        "op7_token_counts": op7_token_counts,
         "op9_html_extraction": op9_html_extraction,
         "op10_embedding_near_dedup": op10_embedding_near_dedup,
     }
