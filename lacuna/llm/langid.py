@@ -15,6 +15,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .shingles import text_bytes
 
 WINDOW = 64
 STEP = 2
@@ -29,6 +32,8 @@ SEED = 11
 BLOCK = 4096
 
 UNKNOWN = "und"
+#: A text scored lower is in no language that was learned; between four, chance would give 0.25.
+LEAST_SCORE = 0.35
 
 
 @dataclass
@@ -178,13 +183,11 @@ def _pooled(net: Network, data: np.ndarray, starts: np.ndarray, lengths: np.ndar
     return sums / np.maximum(lengths, 1)[:, None]
 
 
-def _predictor(net: Network | None):
+def _predictor(net: Network | None, keep: list[str], names: tuple[str, str]):
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            text = batch.column("text").cast(pa.large_binary())
-            lettered = batch.column("lettered").to_numpy(zero_copy_only=False).astype(bool)
-            offsets = np.frombuffer(text.buffers()[1], np.int64)[text.offset:text.offset + len(text) + 1]
-            data = np.frombuffer(text.buffers()[2], np.uint8) if text.buffers()[2] else np.zeros(1, np.uint8)
+            data, offsets = text_bytes(batch.column(batch.num_columns - 2))
+            lettered = batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False).astype(bool)
             lengths = np.where(lettered, np.diff(offsets), 0)
             if net is None or not len(lengths):
                 best, score = np.full(len(lengths), UNKNOWN, object), np.zeros(len(lengths))
@@ -192,9 +195,8 @@ def _predictor(net: Network | None):
                 pooled = _pooled(net, data, offsets[:-1], lengths)
                 best = np.where(lettered, np.array(net.languages, object)[pooled.argmax(axis=1)], UNKNOWN)
                 score = np.where(lettered, pooled.max(axis=1).clip(0, 1), 0.0)
-            others = [batch.column(i) for i, name in enumerate(batch.schema.names) if name not in ("text", "lettered")]
-            names = [name for name in batch.schema.names if name not in ("text", "lettered")]
-            yield pa.RecordBatch.from_arrays([*others, pa.array(best, pa.string()), pa.array(score)], [*names, "lang_pred", "score"])
+            columns = [batch.column(i) for i in range(len(keep))]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(best, pa.string()), pa.array(score)], [*keep, *names])
 
     return predict
 
@@ -228,16 +230,24 @@ def fit(docs: DataFrame, **options) -> Network | None:
     return train([piece.encode() for piece, _ in found], [lang for _, lang in found])
 
 
-def identify(docs: DataFrame, net: Network | None, keep: list[str]) -> DataFrame:
-    """``keep`` columns of ``docs``, lang_pred and score, one row per row.
+def identify(docs: DataFrame, net: Network | None, keep: list[str], names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """``keep`` columns of ``docs`` (text, ...) as they are, and the two ``names``, one row per row.
 
     A text that is null or has no letter is ``und`` with score 0; so is any text
     if there was no labelled row to learn from.
     """
     text = F.col("text").cast("string")
-    read = docs.select(*keep, F.coalesce(text, F.lit("")).alias("text"), F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias("lettered"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
-    return read.mapInArrow(_predictor(net), f"{schema}, lang_pred string, score double")
+    lettered = F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
+    read = docs.select(*[F.col(f"`{c}`") for c in keep], text.alias("_read"), lettered.alias("_lettered"))
+    schema = T.StructType([docs.schema[c] for c in keep]).add(names[0], "string").add(names[1], "double")
+    return read.mapInArrow(_predictor(net, keep, names), schema)
+
+
+def keep_identified(docs: DataFrame, least: float = LEAST_SCORE, **options) -> DataFrame:
+    """The rows of ``docs`` in a language that is known well enough, with all their columns."""
+    names = ("_lang_pred", "_lang_score")
+    found = identify(docs, fit(docs, **options), docs.columns, names)
+    return found.where((F.col(names[0]) != UNKNOWN) & (F.col(names[1]) >= least)).select(docs.columns)
 
 
 def language_table(docs: DataFrame, **options) -> DataFrame:

@@ -238,12 +238,18 @@ def near_duplicate_classes(docs: DataFrame) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """One row of each class, that of its least doc_id, with all columns; rows with a null text stay."""
+    """One row of each class, that of its least doc_id, with all columns; rows with a null text stay.
+
+    Of rows equal in doc_id and text any one stays.
+    """
     text = F.col("text").cast("string")
-    kept = near_duplicate_classes(docs).where("node IS NOT NULL").groupBy("class_id").agg(
-        F.min(F.when(F.col("doc_id").eqNullSafe(F.col("class_id")), F.col("node"))).alias("_node")
-    ).select(F.col("class_id").alias("_id"), "_node")
-    kept = write_and_reread(kept, "kept")
+    found = near_duplicate_classes(docs).where("node IS NOT NULL AND doc_id <=> class_id")
+    # The least id may have several texts, of which the least digest stays; rows are counted to see repeats.
+    kept = found.groupBy("class_id", "node").agg(F.count("*").alias("_times")).groupBy("class_id").agg(
+        F.min_by("_times", "node").alias("_times"), F.min("node").alias("_node")
+    )
+    kept = write_and_reread(kept.withColumnRenamed("class_id", "_id"), "kept")
     same = (F.unhex(F.md5(text)) == F.col("_node")) & F.col("doc_id").eqNullSafe(F.col("_id"))
-    one = docs.where(text.isNotNull()).join(kept, same, "left_semi")
-    return one.dropDuplicates(["doc_id", "text"]).unionByName(docs.where(text.isNull()))
+    single = docs.join(kept.where("_times = 1"), same, "left_semi")
+    repeated = docs.join(kept.where("_times > 1"), same, "left_semi").dropDuplicates(["doc_id", "text"])
+    return single.unionByName(repeated).unionByName(docs.where(text.isNull()))

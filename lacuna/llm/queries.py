@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from .decontaminate import contamination
+from .mixing import copies, mixture
 from .order_minhash import near_duplicate_classes
 from .pages import extract_text
 from .langid import language_table
@@ -52,6 +53,11 @@ def op7_token_counts(spark, folder, vocabulary=f"{TOKENIZERS}/{VOCABULARY}"):
     return count_tokens(table(spark, folder, "documents"), read_vocabulary(vocabulary))
 
 
+def op8_source_mixing(spark, folder):
+    found = mixture(table(spark, folder, "documents"), table(spark, folder, "labels"))
+    return found.withColumn("copies", copies(F.col("rate"), F.col("doc_id"), F.col("text_hash"))).drop("text_hash")
+
+
 def op9_html_extraction(spark, folder):
     return extract_text(table(spark, folder, "pages"))
 
@@ -69,6 +75,7 @@ def queries():
         "op5_decontamination": op5_decontamination,
         "op6_license_scan": op6_license_scan,
         "op7_token_counts": op7_token_counts,
+        "op8_source_mixing": op8_source_mixing,
         "op9_html_extraction": op9_html_extraction,
         "op10_embedding_near_dedup": op10_embedding_near_dedup,
     }

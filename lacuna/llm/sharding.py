@@ -136,20 +136,37 @@ def assign(records: DataFrame, slot_map: DataFrame, order: list[str]) -> DataFra
     ).drop("_within", "first_slot")
 
 
+def _records(docs: DataFrame, slots: int, *columns: Column) -> DataFrame:
+    text = F.col("text").cast("string")
+    return docs.select(
+        *columns, (F.coalesce(F.octet_length(text), F.lit(0)) + OVERHEAD).cast("long").alias("size"),
+        record_slot(slots, F.col("doc_id"), F.xxhash64(text)).alias("virtual_slot"),
+    )
+
+
 def shard_records(docs: DataFrame, shards: int, slots: int = SLOTS, map_path: str | None = None) -> DataFrame:
     """Shards of near equal bytes for a table with ``doc_id`` and ``text``.
 
-    Returns doc_id, size, text_crc32, virtual_slot, shard, slot. The size is the
+    Returns doc_id, text_crc32, size, virtual_slot, shard, slot. The size is the
     UTF-8 bytes of the text (none for null) plus ``OVERHEAD``; the checksum of a
     null text is null. Repeated rows are records of their own; an empty table
     gives an empty result. Copies of one text spread over slots, as the id is
     hashed too. Without ``map_path`` the map is stored in the shared folder.
     """
-    text = F.col("text").cast("string")
-    records = docs.select(
-        F.col("doc_id"), (F.coalesce(F.octet_length(text), F.lit(0)) + OVERHEAD).cast("long").alias("size"),
-        F.crc32(text).alias("text_crc32"), record_slot(slots, F.col("doc_id"), F.xxhash64(text)).alias("virtual_slot"),
-    )
-    sized = records.select("virtual_slot", "size")
-    slot_map = store_map(build_map(slot_totals(sized), shards), map_path or written_path(docs.sparkSession, "slot-map"))
-    return assign(records, slot_map, ["doc_id", "text_crc32", "size"])
+    records = _records(docs, slots, F.col("doc_id"), F.crc32(F.col("text").cast("string")).alias("text_crc32"))
+    return assign(records, fitted_map(docs, shards, slots, map_path), ["doc_id", "text_crc32", "size"])
+
+
+def fitted_map(docs: DataFrame, shards: int, slots: int = SLOTS, map_path: str | None = None) -> DataFrame:
+    """Builds and stores the first version of the map for ``docs``."""
+    totals = slot_totals(_records(docs, slots))
+    return store_map(build_map(totals, shards), map_path or written_path(docs.sparkSession, "slot-map"))
+
+
+def shard_documents(docs: DataFrame, shards: int, slots: int = SLOTS, map_path: str | None = None) -> DataFrame:
+    """``docs`` with ``virtual_slot`` and ``shard`` added (or replaced); no row is shuffled."""
+    slot_map = fitted_map(docs, shards, slots, map_path).select("virtual_slot", "shard")
+    kept = [c for c in docs.columns if c not in ("virtual_slot", "shard")]
+    slot = record_slot(slots, F.col("doc_id"), F.xxhash64(F.col("text").cast("string")))
+    placed = docs.select(*[F.col(f"`{c}`") for c in kept], slot.alias("virtual_slot"))
+    return placed.join(F.broadcast(slot_map), "virtual_slot").select(*[F.col(f"`{c}`") for c in kept], "virtual_slot", "shard")
