@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from lacuna.session import write_and_reread
 
-from .text import let, words_of
+from .text import bounded_sample, let, words_of
 
 #: Shares of tokens that the mixture should have.
 TARGETS = {"high": 0.91, "low": 0.085, "toxic": 0.005}
@@ -73,11 +73,11 @@ def _featured(docs: DataFrame) -> DataFrame:
 def fit_weights(docs: DataFrame, domains: DataFrame, names: list[str], rows: int = LABELLED_ROWS) -> DataFrame:
     """(bucket, w_0, w_1, ...): log ratio of a feature's frequency in a domain to its overall frequency.
 
-    Fitted to the ``rows`` labelled documents first in a fixed random order. The
+    Fitted to at most ``rows`` labelled documents drawn by a hash of their ids. The
     result has at most one row per bucket; bucket -1 holds the log shares of the
     domains.
     """
-    sample = domains.where(F.col("domain").isin(names)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    sample = bounded_sample(domains.where(F.col("domain").isin(names)), rows, 0, "doc_id", "domain")
     sample = sample.withColumnRenamed("doc_id", "_id")
     own = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("_id")).drop("_id")
     text = F.col("text").cast("string")

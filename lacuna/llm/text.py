@@ -34,3 +34,16 @@ def lowered(text: Column) -> Column:
 def words_of(text: Column) -> Column:
     """Runs of digits, small letters and non-ASCII characters, in text order."""
     return F.array_remove(F.split(lowered(text), SEPARATORS), "")
+
+
+def bounded_sample(df: DataFrame, rows: int, seed: int, *keys: str) -> DataFrame:
+    """About ``rows`` rows, never more, drawn from the whole table by a hash of ``keys``.
+
+    A count sets the share that the hash lets through, so only about that many
+    rows are sorted, however large the table is. Equal tables give equal samples.
+    """
+    n = df.count()
+    chance = F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(1 << 40))
+    if n > 2 * rows:
+        df = df.where(chance < int((1 << 40) * 1.2 * rows / n))
+    return df.orderBy(chance, *keys).limit(rows)
