@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .shingles import text_bytes
+from .text import bounded_sample
 
 WINDOW = 64
 STEP = 2
@@ -214,8 +215,9 @@ def training_pieces(docs: DataFrame, rows: int = SAMPLE_ROWS, pieces: int = PIEC
     characters come to the driver.
     """
     text = F.col("text").cast("string")
-    usable = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")) & text.rlike(r"\p{L}"))
-    ranked = usable.select("lang", F.xxhash64(F.lit(SEED), "doc_id", text).alias("rank"), text.alias("text")).orderBy("rank", "lang").limit(rows)
+    usable = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "lang", text.alias("text"))
+    # Drawn by id and language, which are narrow; a null text has no pieces.
+    ranked = bounded_sample(usable, rows, SEED, "doc_id", "lang").where(F.col("text").rlike(r"\p{L}"))
     spread = F.transform(
         F.sequence(F.lit(0), F.lit(pieces - 1)),
         lambda i: F.substr("text", (F.length("text") * i / pieces).cast("int") + 1, F.lit(WINDOW)),
