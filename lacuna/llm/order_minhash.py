@@ -170,18 +170,18 @@ def _compared(group: pa.Table) -> pa.Table:
     })
 
 
-def _units(members: DataFrame) -> DataFrame:
+def _units(members: DataFrame, texts: DataFrame) -> DataFrame:
     """(unit, i, j, node, doc_id): groups to compare, each of bounded size.
 
-    ``members`` has (key, node, doc_id, bytes, one row per text and shared key).
+    ``members`` has (key, node), one row per text and shared key, ``texts``
+    (node, doc_id, bytes), one row per text.
     Texts joined by shared keys, directly or not, form one group if it is small,
     so that each is read once. Texts of a larger group are compared by key, in
     tiles: every two texts with a common key meet in some pair of tiles.
     """
     centre = members.groupBy("key").agg(F.min("node").alias("b"))
     linked = connected_components(members.join(write_and_reread(centre, "centres"), "key").select(F.col("node").alias("a"), "b"))
-    nodes = members.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("bytes").alias("bytes"))
-    grouped = write_and_reread(nodes.join(linked, "node"), "grouped")
+    grouped = write_and_reread(texts.select("node", "doc_id", "bytes").join(linked, "node"), "grouped")
     sizes = grouped.groupBy("root").agg(F.count("*").alias("texts"), F.sum("bytes").alias("all"))
     small = (F.col("texts") <= GROUP_TEXTS) & (F.col("all") <= GROUP_BYTES)
     sizes = write_and_reread(sizes.withColumn("small", small), "sizes")
@@ -189,7 +189,7 @@ def _units(members: DataFrame) -> DataFrame:
     whole = marked.where("small").select(
         F.col("root").alias("unit"), F.lit(0).alias("i"), F.lit(0).alias("j"), "node", "doc_id"
     )
-    large = members.join(marked.where("NOT small").select("node"), "node", "left_semi")
+    large = members.join(marked.where("NOT small").select("node", "doc_id", "bytes"), "node")
     per_key = large.groupBy("key").agg(F.count("*").alias("texts"), F.sum("bytes").alias("all"))
     half = F.greatest(F.ceil(F.col("texts") * 2 / GROUP_TEXTS), F.ceil(F.col("all") * 2 / GROUP_BYTES))
     tiles = write_and_reread(per_key.select("key", F.when((F.col("texts") <= GROUP_TEXTS) & (F.col("all") <= GROUP_BYTES), 1).otherwise(half).cast("int").alias("tiles")), "tiles")
@@ -200,6 +200,11 @@ def _units(members: DataFrame) -> DataFrame:
     return whole.unionByName(paired)
 
 
+def _hashed(narrow: DataFrame) -> DataFrame:
+    """The narrow side of a join with texts: it grows with them, so it is dealt and hashed, not broadcast; texts aren't sorted."""
+    return narrow.hint("shuffle_hash")
+
+
 def near_duplicate_classes(docs: DataFrame) -> DataFrame:
     """doc_id, node (md5 of the text) and class_id of every row of ``docs`` (doc_id, text).
 
@@ -213,22 +218,20 @@ def near_duplicate_classes(docs: DataFrame) -> DataFrame:
     sketches = write_and_reread(
         read.where("node IS NOT NULL").mapInArrow(_sketches, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, node binary, bytes long, keys array<bigint>"), "sketches"
     )
-    # One row per different text: copies are summed before the shuffle.
-    texts = sketches.groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    # One row per different text: copies have equal keys and are summed before the shuffle.
+    texts = sketches.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("bytes").alias("bytes"), F.first("keys").alias("keys"))
     texts = write_and_reread(texts, "texts")
-    ids = texts.withColumnsRenamed({"node": "_node", "doc_id": "_id"})
-    # A row per text stands for its copies; the id spreads copies of one text over tasks.
-    first = sketches.join(ids, (F.col("node") == F.col("_node")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    keyed = first.select("node", "doc_id", "bytes", F.explode("keys").alias("key")).distinct()
-    keyed = write_and_reread(keyed, "keys")
+    keyed = texts.select(F.explode("keys").alias("key"), "node")
     shared = write_and_reread(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "shared")
     members = write_and_reread(keyed.join(shared, "key", "left_semi"), "members")
-    units = write_and_reread(_units(members), "units")
+    units = write_and_reread(_units(members, texts), "units")
+    # A row per text stands for its copies; the id spreads copies of one text over tasks.
     wanted = units.withColumnsRenamed({"node": "_node", "doc_id": "_id"})
-    fetched = read.join(wanted, (F.col("node") == F.col("_node")) & F.col("doc_id").eqNullSafe(F.col("_id"))).select("unit", "i", "j", "node", "text")
+    same = (F.col("node") == F.col("_node")) & F.col("doc_id").eqNullSafe(F.col("_id"))
+    fetched = read.join(_hashed(wanted), same).select("unit", "i", "j", "node", "text")
     links = fetched.groupBy("unit", "i", "j").applyInArrow(_compared, "a binary, b binary")
     linked = connected_components(links)
-    classed = texts.join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    classed = texts.select("node", "doc_id").join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = write_and_reread(classed.groupBy("root").agg(F.min("doc_id").alias("class_id")), "least")
     classes = write_and_reread(classed.join(least, "root").select(F.col("node").alias("_node"), "class_id"), "classes")
     rows = docs.select("doc_id", F.unhex(F.md5(text)).alias("node"))
@@ -250,6 +253,6 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     )
     kept = write_and_reread(kept.withColumnRenamed("class_id", "_id"), "kept")
     same = (F.unhex(F.md5(text)) == F.col("_node")) & F.col("doc_id").eqNullSafe(F.col("_id"))
-    single = docs.join(kept.where("_times = 1"), same, "left_semi")
-    repeated = docs.join(kept.where("_times > 1"), same, "left_semi").dropDuplicates(["doc_id", "text"])
+    single = docs.join(_hashed(kept.where("_times = 1")), same, "left_semi")
+    repeated = docs.join(_hashed(kept.where("_times > 1")), same, "left_semi").dropDuplicates(["doc_id", "text"])
     return single.unionByName(repeated).unionByName(docs.where(text.isNull()))
