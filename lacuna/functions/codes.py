@@ -1,6 +1,6 @@
 """Category <-> numeric code, with code 0 for "missing or unknown"."""
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,8 +10,14 @@ def _literal_map(pairs) -> Column:
     return F.create_map(*[F.lit(part) for pair in pairs for part in pair])
 
 
-def code_of(column: Column, codes: Mapping[str, int]) -> Column:
-    """Numeric code of a category; null and unlisted categories give 0.0."""
+def code_of(column: Column, codes: Mapping[str, int] | Callable[[Column], Column]) -> Column:
+    """Numeric code of a category; null and unlisted categories give 0.0.
+
+    ``codes`` is a mapping, or a function from the column to a column of codes,
+    such as an expression or a pandas UDF; where it gives null the code is 0.0.
+    """
+    if callable(codes):
+        return F.coalesce(codes(column).cast("double"), F.lit(0.0))
     table = _literal_map((name, float(code)) for name, code in codes.items())
     return F.coalesce(F.try_element_at(table, column.cast("string")), F.lit(0.0))
 

@@ -17,7 +17,8 @@ def _whole_text_matches(column: Column, pattern: str) -> Column:
 def is_number(column: Column, data_type: T.DataType | None = None) -> Column:
     """True where the value is usable as a feature; null values are not.
 
-    Text must match ``NUMERIC_PATTERN`` in full. A column that is already
+    Text must match ``NUMERIC_PATTERN`` in full and fit a double: hundreds of
+    digits would be read as infinity. A column that is already
     numeric is checked for NaN and infinity instead of being printed and
     matched, which would refuse values that print with an exponent.
     """
@@ -28,7 +29,8 @@ def is_number(column: Column, data_type: T.DataType | None = None) -> Column:
     if isinstance(data_type, T.NumericType):
         return column.isNotNull()
     text = column.cast("string")
-    return text.isNotNull() & _whole_text_matches(text, NUMERIC_PATTERN)
+    finite = F.abs(text.try_cast("double")) != F.lit(float("inf"))
+    return text.isNotNull() & _whole_text_matches(text, NUMERIC_PATTERN) & finite
 
 
 def to_text(column: Column) -> Column:

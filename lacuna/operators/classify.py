@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from lacuna.functions import category_of, code_of
 
-from .clean import feature_array
+from .clean import feature_array, feature_width
 from .missing import in_training_part
 
 # How rows are chosen for training and imputing.
@@ -24,6 +24,9 @@ from .missing import in_training_part
 #   compat: train on 70 % of all rows, with "missing" as a class of its own
 #           (code 0), and impute only the missing rows of the other 30 %.
 MODES = ("known", "compat")
+# Settings of the learners that results are compared at. They are
+# the defaults below: depth 5, 32 bins, 10 trees; 5 hidden units, 145 iterations,
+# blocks of 128 rows, seed 1234.
 
 
 @dataclass(frozen=True)
@@ -39,7 +42,7 @@ class TrainingPlan:
 
 def plan_training(
     df: DataFrame,
-    features: Sequence[str],
+    features: Sequence[str] | str,
     target: str,
     codes: Mapping[str, int],
     mode: str = "known",
@@ -66,7 +69,7 @@ def plan_training(
     # over the data to count them.
     nominal = {"ml_attr": {"type": "nominal", "vals": [str(c + first_code) for c in range(classes)]}}
     label = (F.col("code") - first_code).alias("label", metadata=nominal)
-    return TrainingPlan(train.select(label, "features"), ask.select("line_id", "features"), classes, first_code, len(features))
+    return TrainingPlan(train.select(label, "features"), ask.select("line_id", "features"), classes, first_code, feature_width(df, features))
 
 
 def impute_by(estimator: Estimator, plan: TrainingPlan, codes: Mapping[str, int]) -> DataFrame:
@@ -85,7 +88,7 @@ def impute_by(estimator: Estimator, plan: TrainingPlan, codes: Mapping[str, int]
 
 def tree_impute(
     df: DataFrame,
-    features: Sequence[str],
+    features: Sequence[str] | str,
     target: str,
     codes: Mapping[str, int],
     *,
@@ -104,13 +107,14 @@ def tree_impute(
 
 def forest_impute(
     df: DataFrame,
-    features: Sequence[str],
+    features: Sequence[str] | str,
     target: str,
     codes: Mapping[str, int],
     *,
     mode: str = "known",
     num_trees: int = 10,
     feature_subset: str = "auto",
+    bootstrap: bool = True,
     impurity: str = "gini",
     max_depth: int = 5,
     max_bins: int = 32,
@@ -122,6 +126,7 @@ def forest_impute(
     forest = RandomForestClassifier(
         numTrees=num_trees,
         featureSubsetStrategy=feature_subset,
+        bootstrap=bootstrap,
         impurity=impurity,
         maxDepth=max_depth,
         maxBins=max_bins,
@@ -132,7 +137,7 @@ def forest_impute(
 
 def perceptron_impute(
     df: DataFrame,
-    features: Sequence[str],
+    features: Sequence[str] | str,
     target: str,
     codes: Mapping[str, int],
     *,

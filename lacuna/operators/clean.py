@@ -40,6 +40,22 @@ def _array_is_numeric(name: str):
     )
 
 
+def feature_width(df: DataFrame, features: Sequence[str] | str) -> int:
+    """Number of features of a row; 0 for an array column without any array.
+
+    ``features`` is a list of columns or the name of one, which may hold arrays;
+    arrays of different lengths are refused.
+    """
+    if not isinstance(features, str):
+        return len(features)
+    if not isinstance(df.schema[features].dataType, T.ArrayType):
+        return 1
+    widths = df.where(F.col(features).isNotNull()).agg(F.min(F.size(features)), F.max(F.size(features))).first()
+    if widths[0] != widths[1]:
+        raise ValueError(f"{features!r} holds arrays of {widths[0]} to {widths[1]} values")
+    return widths[0] or 0
+
+
 def feature_array(df: DataFrame, features: Sequence[str] | str, target: str, row_id: str = "line_id") -> DataFrame:
     """Clean rows as ``row_id, target, features array<double>``.
 

@@ -5,46 +5,58 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lacuna.functions import euclidean, to_double
-
 from .blocks import ROWS_PER_BLOCK, candidate_pairs, make_blocks, nearest_in_pairs
-from .clean import feature_array, filter_numeric
+from .clean import feature_array, feature_width
+
+
+# Fixed value: up to so many rows per key, Spark's ranking windows drop the rest before the shuffle.
+_LIMITED_BY_SPARK = 1000
+_SALTS = 64
 
 
 def distance_to_row(
-    df: DataFrame, features: Sequence[str], target: str, row: DataFrame, row_id: str = "line_id"
+    df: DataFrame, features: Sequence[str] | str, target: str, row: DataFrame, row_id: str = "line_id"
 ) -> DataFrame:
     """Distance of every known row to one given row.
 
-    ``row`` holds that single row's features; they enter as scalar subqueries,
-    so this is one scan of ``df`` without a join.
+    ``row`` is that single row; its features enter as one scalar subquery, so
+    this is one scan of ``df`` without a join. Features are as in ``nearest``.
     """
-    point = [row.select(to_double(F.col(c))).scalar() for c in features]
-    known = filter_numeric(df.where(F.col(target).isNotNull()), features)
+    point = feature_array(row, features, target, row_id).select("features").scalar()
+    # A column of its own, as a subquery can't stand inside a function of arrays.
+    known = feature_array(df, features, target, row_id).where(F.col("value").isNotNull()).withColumn("point", point)
+    squares = F.zip_with("features", "point", lambda a, b: (a - b) * (a - b))
     return known.select(
-        F.col(row_id).alias("neighbour_id"),
-        F.col(target).alias("value"),
-        euclidean([to_double(F.col(c)) for c in features], point).alias("distance"),
+        F.col("line_id").alias("neighbour_id"),
+        "value",
+        F.sqrt(F.aggregate(squares, F.lit(0.0), lambda total, x: total + x)).alias("distance"),
     )
 
 
+def _first(df: DataFrame, keys: Sequence[str], order: Sequence[str], k: int) -> DataFrame:
+    """Adds ``rank`` and keeps the first k rows of each key.
+
+    Beyond the size up to which Spark limits groups before a shuffle, rows are
+    ranked within salted parts of a key first, so no task gets a whole hot key.
+    """
+    if k > _LIMITED_BY_SPARK:
+        salted = df.withColumn("salt", F.pmod(F.xxhash64(*order), F.lit(_SALTS)))
+        within = Window.partitionBy(*keys, "salt").orderBy(*order)
+        df = salted.withColumn("rank", F.row_number().over(within)).where(F.col("rank") <= k).drop("rank", "salt")
+    return df.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("rank") <= k)
+
+
 def _lowest_ids_per_place(known: DataFrame, k: int) -> DataFrame:
     """Of known rows with equal features, the k lowest ids.
 
     Exact: such rows are equally far from everything and ties go to the lowest
     id, so no further copy can be among k neighbours. The limit is applied
     before the shuffle too, so a place that holds a third of all rows sends at
-    most k rows per task.
+    most k rows per task and salt.
     """
     # Leading with a hash lets Spark sort by a number and look at the arrays
     # only where two hashes are equal.
-    at_place = Window.partitionBy("place", "features").orderBy("line_id")
-    return (
-        known.withColumn("place", F.xxhash64("features"))
-        .withColumn("rank", F.row_number().over(at_place))
-        .where(F.col("rank") <= k)
-        .drop("place", "rank")
-    )
+    return _first(known.withColumn("place", F.xxhash64("features")), ["place", "features"], ["line_id"], k).drop("place", "rank")
 
 
 def nearest(
@@ -63,25 +75,17 @@ def nearest(
     if k < 1:
         raise ValueError("k must be at least 1")
     points = feature_array(df, features, target, row_id)
-    width = _width(df, features)
+    width = feature_width(df, features)
+    if not width:
+        return points.where("false").select(
+            "line_id", F.col("line_id").alias("neighbour_id"), "value", F.lit(0.0).alias("d2"), F.lit(0).alias("rank")
+        )
     known = _lowest_ids_per_place(points.where(F.col("value").isNotNull()), k)
     blocks = make_blocks(points, known, k, width, rows_per_block)
     if blocks.missing_rows and not blocks.known_rows:
         raise ValueError(f"{target!r} is missing in every usable row, so there is nothing to impute from")
     found = nearest_in_pairs(blocks, candidate_pairs(blocks, k, width), k, width)
-    by_distance = Window.partitionBy("line_id").orderBy("d2", "neighbour_id")
-    return found.withColumn("rank", F.row_number().over(by_distance)).where(F.col("rank") <= k)
-
-
-def _width(df: DataFrame, features: Sequence[str] | str) -> int:
-    if not isinstance(features, str):
-        return len(features)
-    if not df.schema[features].dataType.typeName() == "array":
-        return 1
-    widths = df.where(F.col(features).isNotNull()).agg(F.min(F.size(features)), F.max(F.size(features))).first()
-    if widths[0] != widths[1]:
-        raise ValueError(f"{features!r} holds arrays of {widths[0]} to {widths[1]} values")
-    return widths[0]
+    return _first(found, ["line_id"], ["d2", "neighbour_id"], k)
 
 
 def votes(neighbours: DataFrame) -> DataFrame:

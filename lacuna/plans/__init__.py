@@ -1,9 +1,10 @@
 """Experiments: erase, impute, score, report."""
 
-from .experiment import METHODS, PERCENTS, Report, compare_grid, impute, run_experiment
+from .experiment import ERASING, METHODS, PERCENTS, Report, compare_grid, impute, run_experiment
 from .presets import HEADACHE, IRIS, Preset
 
 __all__ = [
+    "ERASING",
     "HEADACHE",
     "IRIS",
     "METHODS",

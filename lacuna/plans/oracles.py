@@ -14,7 +14,8 @@ _MIXED = """
     SELECT event_id, CASE event_id % 8
         WHEN 0 THEN '?' WHEN 2 THEN event_id || 'e5' WHEN 3 THEN '.' || event_id
         WHEN 4 THEN '-' || event_id WHEN 5 THEN event_id || '.25' WHEN 6 THEN ' ' || event_id
-        WHEN 7 THEN '+' || event_id END AS v
+        WHEN 7 THEN '+' || event_id END AS v,
+        CASE WHEN event_id % 5 = 1 THEN 'x' WHEN event_id % 5 <> 0 THEN event_id || '.5' END AS w
     FROM events"""
 _NUMBER = r"regexp_full_match(v, '[-+]?\d+(\.\d+)?')"
 
@@ -107,6 +108,53 @@ _STUMP = """
     FROM (SELECT *, dense_rank() OVER (ORDER BY class) AS dense FROM sides SEMI JOIN best USING (cut)) GROUP BY side"""
 
 
+_STUMP_DETAIL = f"""
+    WITH points AS (
+        SELECT c_custkey AS id, c_nationkey AS key, c_mktsegment AS original,
+            CASE WHEN NOT ({_erased('c_custkey')}) THEN c_mktsegment END AS t FROM customer),
+    cells AS (SELECT key, t AS class, count(*) AS n FROM points WHERE t IS NOT NULL GROUP BY ALL),
+    cuts AS (
+        SELECT (key + lead(key) OVER (ORDER BY key)) / 2.0 AS cut FROM (SELECT DISTINCT key FROM cells)
+        QUALIFY cut IS NOT NULL),
+    sides AS (SELECT cut, key > cut AS side, class, sum(n) AS n FROM cells, cuts GROUP BY ALL),
+    impurity AS (
+        SELECT cut, side, sum(n) * (1 - sum((n / total) ^ 2)) AS g
+        FROM (SELECT *, sum(n) OVER (PARTITION BY cut, side) AS total FROM sides) GROUP BY ALL),
+    best AS (SELECT cut FROM impurity GROUP BY cut ORDER BY sum(g), cut LIMIT 1),
+    chosen AS (
+        SELECT cut, side, arg_max(class, (n, -dense)) AS imputed_value
+        FROM (SELECT *, dense_rank() OVER (ORDER BY class) AS dense FROM sides SEMI JOIN best USING (cut)) GROUP BY ALL),
+    detail AS (
+        SELECT id AS line_id, original AS original_value, imputed_value, (imputed_value <> original)::INTEGER AS error
+        FROM points JOIN chosen ON (key > cut) = side WHERE t IS NULL)"""
+
+
+def _summary_exact(percent: str) -> str:
+    """k-NN summary with an exact number of rows erased."""
+    points = f"""
+        SELECT id, original, CASE WHEN place > floor(total * {percent} / 100 + 0.5) THEN original END AS t, f0, f1 FROM (
+            SELECT c_custkey AS id, c_mktsegment AS original, c_acctbal AS f0, c_nationkey::DOUBLE AS f1,
+                row_number() OVER (ORDER BY md5('42:' || c_custkey::VARCHAR), c_custkey) AS place, count(*) OVER () AS total
+            FROM customer)"""
+    return f"WITH {_neighbours(points, _distance(2))} {_SUMMARY}"
+
+
+_LINE_ID = """('0x' || substr(md5(concat_ws('|', l_orderkey, l_partkey, l_suppkey, l_linenumber,
+    date_diff('day', DATE '1970-01-01', l_shipdate::DATE))), 1, 15))::BIGINT"""
+# The ten nearest by an aggregate of bounded size: a window would sort all pairs.
+_LINEITEM = f"""
+    WITH points AS (
+        SELECT id, CASE WHEN NOT ({_erased('id')}) THEN original END AS t, f0, f1, f2, f3 FROM (
+            SELECT {_LINE_ID} AS id, l_returnflag AS original, l_quantity AS f0, l_extendedprice AS f1, l_discount AS f2, l_tax AS f3
+            FROM lineitem)),
+    near AS (
+        SELECT m.id AS line_id, min_by(k.t, ({_distance(4)}, k.id), {K}) AS found
+        FROM points m, points k WHERE m.t IS NULL AND k.t IS NOT NULL GROUP BY m.id),
+    counted AS (SELECT line_id, value, count(*) AS votes FROM (SELECT line_id, unnest(found) AS value FROM near) GROUP BY ALL)
+    SELECT line_id, value AS imputed_value FROM counted
+    QUALIFY row_number() OVER (PARTITION BY line_id ORDER BY votes DESC, value) = 1"""
+
+
 def _grid(rows) -> str:
     return " UNION ALL ".join(rows)
 
@@ -124,18 +172,18 @@ def all_oracles() -> dict[str, str]:
     summary = f"WITH {_CUSTOMER} {_SUMMARY}"
     named = {
         "load_as_strings": """SELECT p_partkey::VARCHAR AS p_partkey, p_name, p_brand, p_type,
-            p_size::VARCHAR AS p_size FROM part""",
+            p_size::VARCHAR AS p_size, p_retailprice::VARCHAR AS p_retailprice FROM part""",
         "load_csv": """SELECT c_custkey::VARCHAR AS c_custkey, c_name, c_nationkey::VARCHAR AS c_nationkey,
-            c_mktsegment FROM customer""",
-        "row_id": "SELECT c_custkey AS line_id, c_name FROM customer",
+            c_acctbal::VARCHAR AS c_acctbal, c_mktsegment FROM customer""",
+        "row_id": "SELECT *, c_custkey AS line_id FROM customer",
         "row_id_generated": "SELECT count(*) AS n, count(*) AS ids FROM lineitem",
         "project_attributes": "SELECT c_custkey AS line_id, c_nationkey, c_mktsegment FROM customer",
-        "encode_target": """SELECT o_orderkey,
-            (CASE o_orderstatus WHEN 'F' THEN 1 WHEN 'P' THEN 2 ELSE 0 END)::DOUBLE AS code FROM orders""",
-        "decode_target": """SELECT o_orderkey,
-            CASE WHEN o_orderstatus IN ('F', 'P') THEN o_orderstatus END AS category FROM orders""",
+        "encode_target": f"""SELECT o_orderkey, (CASE WHEN {_erased('o_orderkey')} THEN 0
+            WHEN o_orderstatus = 'F' THEN 1 WHEN o_orderstatus = 'P' THEN 2 ELSE 0 END)::DOUBLE AS code FROM orders""",
+        "decode_target": f"""SELECT o_orderkey, CASE WHEN NOT ({_erased('o_orderkey')}) AND o_orderstatus IN ('F', 'P')
+            THEN o_orderstatus END AS category FROM orders""",
         "is_numeric": f"{numbers} SELECT event_id, coalesce({_NUMBER}, FALSE) AS ok FROM mixed",
-        "clean_numeric": f"{numbers} SELECT event_id, v::DOUBLE AS v, 7::DOUBLE AS w FROM mixed WHERE {_NUMBER}",
+        "clean_numeric": f"{numbers} SELECT event_id, v::DOUBLE AS v, w::DOUBLE AS w FROM mixed WHERE {_NUMBER} AND event_id % 5 > 1",
         "cast_double": f"{numbers} SELECT event_id, v::DOUBLE AS number FROM mixed WHERE {_NUMBER}",
         "cast_long": rf"""{numbers} SELECT event_id,
             CASE WHEN regexp_full_match(v, '[-+]?\d+') THEN TRY_CAST(v AS BIGINT) END AS number FROM mixed""",
@@ -162,6 +210,14 @@ def all_oracles() -> dict[str, str]:
         "knn_summary": summary,
         "report_sink": summary,
         "dt_stump": _STUMP,
+        "dt_impute_stump": f"{_STUMP_DETAIL} SELECT * FROM detail",
+        "rf_impute_stump": f"{_STUMP_DETAIL} SELECT * FROM detail",
+        "dt_summary_stump": f"{_STUMP_DETAIL} {_SUMMARY}",
+        "knn_summary_exact": _summary_exact("12.5"),
+        "knn_impute_lineitem": _LINEITEM,
+        "pairwise_distance_embeddings": f"""
+            WITH {_EMBEDDINGS} SELECT neighbour_id, value, sqrt(d2) AS distance
+            FROM pairs WHERE line_id = (SELECT min(line_id) FROM pairs)""",
         "compare_grid_counts": _grid(
             f"SELECT '{method}' AS method, {percent} AS percent, count(*) AS n "
             f"FROM customer WHERE {_erased('c_custkey', percent)}"
@@ -172,4 +228,7 @@ def all_oracles() -> dict[str, str]:
     for short in ("dt", "rf", "mlp"):
         named[f"scored_rows_{short}"] = _scored("known")
         named[f"scored_rows_{short}_compat"] = _scored("compat")
+        named[f"scored_embeddings_{short}"] = f"""
+            SELECT vec_id AS line_id, label::VARCHAR AS original_value, TRUE AS filled
+            FROM embeddings WHERE {_erased('vec_id')}"""
     return named

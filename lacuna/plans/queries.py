@@ -40,6 +40,14 @@ def _table(spark, folder, name):
     return load_parquet(spark, f"{folder}/{name}.parquet")
 
 
+def _lineitem(spark, folder):
+    """``lineitem`` with an id made of its content: no copy of the table, the same in every job."""
+    content = F.concat_ws("|", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", F.unix_date(F.to_date("l_shipdate")))
+    return _table(spark, folder, "lineitem").withColumn(
+        "line_id", F.conv(F.substring(F.md5(content), 1, 15), 16, 10).cast("bigint")
+    )
+
+
 def _customer(spark, folder):
     return with_row_id(_table(spark, folder, "customer"), "c_custkey")
 
@@ -69,25 +77,25 @@ def _mixed_text(spark, folder):
         .when(way == 6, F.concat(F.lit(" "), text))
         .when(way == 7, F.concat(F.lit("+"), text))
     )
-    return _table(spark, folder, "events").select("event_id", written.alias("v"), F.lit("7").alias("w"))
+    second = F.when(F.col("event_id") % 5 == 1, "x").when(F.col("event_id") % 5 != 0, F.concat(text, F.lit(".5")))
+    return _table(spark, folder, "events").select("event_id", written.alias("v"), second.alias("w"))
 
 
 # --- sources and projections -------------------------------------------------
 
 
 def load_as_strings(spark, folder):
-    part = _table(spark, folder, "part").drop("p_retailprice")
-    return as_text(part)
+    return as_text(_table(spark, folder, "part"))
 
 
 def load_csv_strings(spark, folder):
     path = written_path(spark, "csv")
-    _table(spark, folder, "customer").drop("c_acctbal").write.option("header", True).csv(path)
+    _table(spark, folder, "customer").write.option("header", True).csv(path)
     return load_csv(spark, path)
 
 
 def row_id(spark, folder):
-    return _customer(spark, folder).select("line_id", "c_name")
+    return _customer(spark, folder)
 
 
 def row_id_generated(spark, folder):
@@ -100,7 +108,7 @@ def project(spark, folder):
 
 
 def encode_target(spark, folder):
-    orders = _table(spark, folder, "orders")
+    orders = erase(_orders(spark, folder), "o_orderstatus", PERCENT)
     return orders.select("o_orderkey", code_of(F.col("o_orderstatus"), {"F": 1, "P": 2}).alias("code"))
 
 
@@ -164,6 +172,12 @@ def pairwise_distance(spark, folder):
     return distance_to_row(damaged, CUSTOMER_FEATURES, "c_mktsegment", first)
 
 
+def pairwise_distance_embeddings(spark, folder):
+    damaged = erase(_embeddings(spark, folder), "label", PERCENT)
+    first = damaged.where("label IS NULL").orderBy("line_id").limit(1)
+    return distance_to_row(damaged, "embedding", "label", first)
+
+
 def _neighbours(damaged, features, target):
     return nearest(damaged, features, target, K)
 
@@ -199,10 +213,7 @@ def knn_impute_part(spark, folder):
 
 
 def knn_impute_lineitem(spark, folder):
-    """``lineitem`` has no key, so ids are generated and SQL cannot name the rows."""
-    lines = with_row_id(
-        _table(spark, folder, "lineitem").select("l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag")
-    )
+    lines = _lineitem(spark, folder)
     features = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
     return knn_impute(erase(lines, "l_returnflag", PERCENT), features, "l_returnflag", K)
 
@@ -224,6 +235,11 @@ def detail_sink(spark, folder):
     return load_parquet(spark, path)
 
 
+def knn_summary_exact(spark, folder):
+    report = run_experiment(_customer(spark, folder), CUSTOMER_FEATURES, "c_mktsegment", "knn", 12.5, k=K, erase="exact")
+    return report.summary
+
+
 def knn_summary(spark, folder):
     return _knn_report(spark, folder).summary
 
@@ -268,6 +284,41 @@ def _scored_rows(method, mode):
     return query
 
 
+def _stump_report(method, **settings):
+    """A depth-1 tree whose imputed values SQL can work out."""
+
+    def report(spark, folder):
+        return run_experiment(_customer(spark, folder), ["c_nationkey"], "c_mktsegment", method, PERCENT, max_depth=1, **settings)
+
+    return report
+
+
+_tree_stump = _stump_report("tree")
+_forest_stump = _stump_report("forest", num_trees=1, feature_subset="all", bootstrap=False)
+
+
+def dt_impute_stump(spark, folder):
+    return _tree_stump(spark, folder).detail
+
+
+def rf_impute_stump(spark, folder):
+    return _forest_stump(spark, folder).detail
+
+
+def dt_summary_stump(spark, folder):
+    return _tree_stump(spark, folder).summary
+
+
+def _scored_embeddings(method, **settings):
+    """Learners on an array column: which vectors get a label, and that it is one of the labels."""
+
+    def query(spark, folder):
+        detail = run_experiment(_embeddings(spark, folder), "embedding", "label", method, PERCENT, **settings).detail
+        return detail.select("line_id", "original_value", F.col("imputed_value").isNotNull().alias("filled"))
+
+    return query
+
+
 def dt_stump(spark, folder):
     """Depth-1 tree from nation to market segment: the rows on each side of its split."""
     customer = _customer(spark, folder)
@@ -332,8 +383,16 @@ def all_queries() -> dict[str, Query]:
         "score_detail": score_detail,
         "detail_sink": detail_sink,
         "knn_summary": knn_summary,
+        "knn_summary_exact": knn_summary_exact,
         "report_sink": report_sink,
         "dt_stump": dt_stump,
+        "dt_impute_stump": dt_impute_stump,
+        "rf_impute_stump": rf_impute_stump,
+        "dt_summary_stump": dt_summary_stump,
+        "scored_embeddings_dt": _scored_embeddings("tree"),
+        "scored_embeddings_rf": _scored_embeddings("forest"),
+        "scored_embeddings_mlp": _scored_embeddings("perceptron", max_iter=20),
+        "pairwise_distance_embeddings": pairwise_distance_embeddings,
         "compare_grid": compare_methods,
         "compare_grid_counts": compare_counts,
         "compare_grid_knn": compare_knn,
