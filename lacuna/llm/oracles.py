@@ -69,8 +69,74 @@ FROM dw LEFT JOIN per_base USING (doc_id) LEFT JOIN per_doc USING (doc_id) LEFT
 """
 
 
+op11_hard_negatives = """
+WITH usable AS (
+    SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+        list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS q
+    FROM embeddings
+    WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+scores AS (
+    SELECT a.vec_id AS anchor_id, r.vec_id, a.label = r.label AS same,
+        list_sum(list_transform(range(1, len(a.q) + 1), lambda i: a.q[i] * r.q[i]))::BIGINT AS score
+    FROM usable a JOIN usable r ON len(a.q) = len(r.q) WHERE a.vec_id % 100 = 0 AND r.vec_id IS DISTINCT FROM a.vec_id
+),
+positives AS (
+    SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scores WHERE same
+    QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id NULLS LAST) <= 5
+)
+SELECT anchor_id, positive_id,
+    row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id NULLS LAST)::INTEGER AS rank,
+    vec_id AS negative_id, positive_score, score AS negative_score
+FROM positives JOIN scores USING (anchor_id)
+WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+QUALIFY rank <= 10
+"""
+
+op13_filter_audit = r"""
+WITH docs AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text FROM documents),
+worded AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w, min(doc_id) OVER (PARTITION BY text) AS low FROM docs),
+marks AS (SELECT doc_id, max(quality = 1) AS good, max(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+failed AS (
+    SELECT part, coalesce(good, FALSE) AS good, coalesce(toxic, FALSE) AS toxic,
+        concat(
+            CASE WHEN len(w) < 50 THEN 'A' END, CASE WHEN 100 * len(list_distinct(w)) < 65 * len(w) THEN 'B' END,
+            CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 5 * length(text) THEN 'C' END,
+            CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' END, CASE WHEN low < doc_id THEN 'E' END) AS fails
+    FROM worded LEFT JOIN marks USING (doc_id)
+),
+counts AS (
+    SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM failed GROUP BY ALL
+),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS l),
+orders AS (
+    SELECT a.l || b.l || c.l || d.l || e.l AS filter_order FROM letters a, letters b, letters c, letters d, letters e
+    WHERE len(list_distinct([a.l, b.l, c.l, d.l, e.l])) = 5
+),
+steps AS (
+    SELECT filter_order, step, filter_order[step] AS own, string_split(left(filter_order, step - 1), '') AS earlier
+    FROM orders, (SELECT unnest(range(1, 6)) AS step)
+),
+found AS (
+    SELECT part, filter_order, step, own, n, good, toxic, fails, contains(fails, own) AS here,
+        len(list_filter(earlier, lambda l: l <> '' AND contains(fails, l))) > 0 AS gone
+    FROM counts, steps
+),
+summed AS (
+    SELECT part, filter_order, step, own, coalesce(sum(n) FILTER (NOT here AND NOT gone), 0)::BIGINT AS kept,
+        coalesce(sum(n) FILTER (here AND NOT gone), 0)::BIGINT AS removed, coalesce(sum(n) FILTER (here AND gone), 0)::BIGINT AS redundant,
+        coalesce(sum(n) FILTER (fails = own), 0)::BIGINT AS unique_fails, coalesce(sum(good) FILTER (here AND NOT gone), 0)::BIGINT AS good_lost,
+        coalesce(sum(toxic) FILTER (here AND NOT gone), 0)::BIGINT AS toxic_lost
+    FROM found GROUP BY ALL
+)
+SELECT * EXCLUDE (own) REPLACE (step::INTEGER AS step), (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley FROM summed
+"""
+
+
 def oracles():
     return {
+        "op11_hard_negatives": op11_hard_negatives,
+        "op13_filter_audit": op13_filter_audit,
         "op6_license_scan": _license_scan(),
         "op5_decontamination": op5_decontamination,
     }

@@ -3,12 +3,15 @@
 from pyspark.sql import functions as F
 
 from .decontaminate import contamination
+from .filter_audit import audit_filters
+from .hard_negatives import hard_negatives
 from .mixing import copies, mixture
 from .order_minhash import near_duplicate_classes
 from .pages import extract_text
 from .langid import language_table
 from .licenses import scan_licenses
 from .projection_forest import vector_links
+from .repeats import repeated_bytes
 from .sharding import shard_records
 from .substrings import repeated_spans
 from .text import table
@@ -66,6 +69,19 @@ def op10_embedding_near_dedup(spark, folder):
     return vector_links(table(spark, folder, "embeddings"))
 
 
+def op11_hard_negatives(spark, folder):
+    return hard_negatives(table(spark, folder, "embeddings"))
+
+
+def op12_suffix_array_dedup(spark, folder):
+    found = repeated_bytes(table(spark, folder, "documents"), keep_first=False)
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+def op13_filter_audit(spark, folder):
+    return audit_filters(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def queries():
     return {
         "op1_substring_dedup": op1_substring_dedup,
@@ -78,4 +94,7 @@ def queries():
         "op8_source_mixing": op8_source_mixing,
         "op9_html_extraction": op9_html_extraction,
         "op10_embedding_near_dedup": op10_embedding_near_dedup,
+        "op11_hard_negatives": op11_hard_negatives,
+        "op12_suffix_array_dedup": op12_suffix_array_dedup,
+        "op13_filter_audit": op13_filter_audit,
     }
