@@ -41,7 +41,7 @@ PIECE = 1 << 20
 #: Most windows in a run; longer ones are cut.
 RUN = 1 << 13
 #: Runs and windows that a key may have in a bucket, and windows that a bucket should hold.
-KEY_RUNS, KEY_WINDOWS, BUCKET_WINDOWS = 512, 1 << 16, 1 << 17
+KEY_RUNS, KEY_WINDOWS, BUCKET_WINDOWS = 4096, 1 << 19, 1 << 17
 
 _BASE = 0x9E3779B97F4A7C15
 _RUNS = "runs array<struct<key: bigint, start: int, stop: int, again: boolean>>"
@@ -268,25 +268,40 @@ def _matched(least: int):
     return match
 
 
+def _heavy(least: int):
+    """Function for ``mapInArrow``: heavy runs with their bytes and the digest of these."""
+
+    def stretch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, owner, _, start, parts in _segments(batches, least, True):
+            at = pa.array(owner)
+            stop = start + np.array([len(p) for p in parts], np.int64) - least + 1
+            digests = [hashlib.blake2b(part, digest_size=16).digest() for part in parts]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("first").take(at), batch.column("row").take(at), pa.array(start.astype(np.int64)), pa.array(stop.astype(np.int64)), pa.array(digests, pa.binary()), pa.array(parts, pa.binary())],
+                ["first", "row", "start", "stop", "digest", "bytes"],
+            )
+
+    return stretch
+
+
 def _digested(least: int):
-    """Function for ``mapInArrow``: a row per different window of each heavy run, and the stretches that repeat within it."""
+    """Function for ``mapInArrow``: a row per different window of each stretch, and the parts that repeat within it."""
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, owner, _, start, parts in _segments(batches, least, True):
-            for text, begin, part in zip(owner.tolist(), start.tolist(), parts):
-                digests = [hashlib.blake2b(part[i:i + least], digest_size=16).digest() for i in range(len(part) - least + 1)]
+        for batch in batches:
+            for i, (begin, part) in enumerate(zip(batch.column("start").to_pylist(), batch.column("bytes").to_pylist(), strict=True)):
+                digests = [hashlib.blake2b(part[j:j + least], digest_size=16).digest() for j in range(len(part) - least + 1)]
                 coded = pa.array(digests, pa.binary()).dictionary_encode()
-                heads = np.unique(coded.indices.to_numpy(), return_index=True)[1]
-                again = np.ones(len(digests), np.int64)
+                codes = coded.indices.to_numpy()
+                heads = np.unique(codes, return_index=True)[1]
+                again = np.ones(len(codes), np.int64)
                 again[heads] = 0
                 low, high, _ = _state_runs(again, np.zeros(1, np.int64))
-                n = len(heads) + len(low)
+                at = pa.array(np.full(len(heads) + len(low), i))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.nulls(n, batch.column("first").type) if not batch.column("first")[text].is_valid else pa.repeat(batch.column("first")[text], n),
-                        pa.repeat(batch.column("row")[text], n), pa.array(np.concatenate([heads, low]) + begin), pa.array(np.concatenate([heads + 1, high]) + begin),
-                        pa.array([*coded.dictionary.to_pylist(), *[None] * len(low)], pa.binary()),
-                        pa.array(np.concatenate([np.bincount(coded.indices.to_numpy()) > 1, np.ones(len(low), bool)])),
+                        batch.column("first").take(at), batch.column("row").take(at), pa.array(np.concatenate([heads, low]) + begin), pa.array(np.concatenate([heads + 1, high]) + begin),
+                        pa.array([*coded.dictionary.to_pylist(), *[None] * len(low)], pa.binary()), pa.array(np.concatenate([np.bincount(codes) > 1, np.ones(len(low), bool)])),
                     ],
                     ["first", "row", "start", "stop", "digest", "again"],
                 )
@@ -295,19 +310,30 @@ def _digested(least: int):
 
 
 def _by_digest(affected: DataFrame, kind: str, least: int) -> DataFrame:
-    """(row, start, stop, later) of the repeated windows of heavy runs."""
-    heavy = affected.where(F.exists("runs", lambda r: r["heavy"])).select("row", "first", "text", "runs")
-    windows = write_and_reread(heavy.mapInArrow(_digested(least), f"first {kind}, row bigint, start bigint, stop bigint, digest binary, again boolean"), "heavy")
+    """(row, start, stop, later) of the repeated windows of heavy runs.
+
+    Equal runs are one, and of a run only the first of equal windows is looked up.
+    """
     place = F.struct(F.col("first").isNull().alias("null"), "first", "row", "start")
-    # Of a run only the first of equal windows has a digest; the others are known as copies by now.
+    earliest = F.min(place).alias("least")
+
+    def summed(rows, *more):
+        # Before the shuffle: what every text holds sends one row per task.
+        found = rows.groupBy("digest").agg(F.count("*").alias("n"), earliest, *more)
+        return found.withColumnsRenamed({"digest": "_digest"}).withColumns({"_row": F.col("least.row"), "_start": F.col("least.start")}).drop("least")
+
+    same, later = F.col("digest") == F.col("_digest"), (F.col("row") != F.col("_row")) | (F.col("start") != F.col("_start"))
+    rows = affected.where(F.exists("runs", lambda r: r["heavy"])).select("row", "first", "text", "runs")
+    runs = write_and_reread(rows.mapInArrow(_heavy(least), f"first {kind}, row bigint, start bigint, stop bigint, digest binary, bytes binary"), "heavy")
+    different = write_and_reread(summed(runs), "heavy-runs")
+    whole = runs.join(different.where("n > 1"), same).select("row", "start", "stop", later.alias("later"))
+    heads = runs.join(different, same & (F.col("row") == F.col("_row")) & (F.col("start") == F.col("_start"))).select("first", "row", "start", "bytes")
+    windows = write_and_reread(heads.mapInArrow(_digested(least), f"first {kind}, row bigint, start bigint, stop bigint, digest binary, again boolean"), "heavy-windows")
     within = windows.where("digest IS NULL").select("row", "start", "stop", F.lit(True).alias("later"))
-    different = windows.where("digest IS NOT NULL")
-    # Summed before the shuffle: a window that every text holds sends one row per task.
-    first = different.groupBy("digest").agg(F.count("*").alias("n"), F.max("again").alias("again"), F.min(place).alias("least"))
-    shared = first.where("n > 1 OR again").select(F.col("digest").alias("_digest"), F.col("least.row").alias("_row"), F.col("least.start").alias("_start"))
-    met = different.join(write_and_reread(shared, "heavy-windows"), F.col("digest") == F.col("_digest"))
-    later = (F.col("row") != F.col("_row")) | (F.col("start") != F.col("_start"))
-    return met.select("row", "start", "stop", later.alias("later")).unionByName(within)
+    looked_up = windows.where("digest IS NOT NULL")
+    shared = write_and_reread(summed(looked_up, F.max("again").alias("twice")).where("n > 1 OR twice"), "shared-windows")
+    met = looked_up.join(shared, same).select("row", "start", "stop", later.alias("later"))
+    return whole.unionByName(met).unionByName(within)
 
 
 def _cut(least: int, keep_first: bool):
