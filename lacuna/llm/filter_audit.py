@@ -7,9 +7,10 @@ number of distinct words, which decide the filters on length and repetition. The
 other filters look at signs, capitals and equal texts. Every order of the filters
 is then worked out from the counts per set of failed filters.
 
-The matrix is built in two steps, so that a word that stands in every document
-costs one row per shard and not one per occurrence: each shard encodes its own
-words first, and its word list alone is joined with the dictionary.
+Each shard encodes its own words first. Its word list alone goes to the buckets
+of the dictionary, packed into one row per bucket, and the ids come back the same
+way. So a word that stands in every document costs one entry per shard and not one
+per occurrence, and a bucket holds the words of one share of the hash values.
 """
 
 from collections.abc import Iterator
@@ -18,15 +19,17 @@ from math import factorial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lacuna.session import write_and_reread
 
-from .shingles import text_bytes
+from .shingles import mix, text_bytes
 
 #: Bytes of text in a shard; a longer text is a shard of its own.
 SHARD_BYTES = 4 << 20
+#: Entries of shards' word lists that a bucket of the dictionary should hold.
+BUCKET_WORDS = 1 << 19
 
 #: Filters in the order of their bits in a set of failures.
 FILTERS = "ABCDE"
@@ -85,28 +88,104 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             indptr, indices, counts, words = local_matrix(data, offsets)
             lists = [
                 *(batch.column(c).slice(low, high - low) for c in ("doc_id", "part", "digest")), pa.array(text_facts(data, offsets).astype(np.int32)),
-                pa.array(indptr), pa.array(indices.astype(np.int32)), pa.array(counts.astype(np.int32)), words,
+                pa.array(indptr), pa.array(np.diff(indices, prepend=0).astype(np.int32)), pa.array(counts.astype(np.int32)), words,
             ]
-            names = ["ids", "parts", "digests", "failed", "indptr", "indices", "counts", "words"]
-            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v) for v in lists], names)
+            yield pa.RecordBatch.from_arrays([_one_list(v) for v in lists], ["ids", "parts", "digests", "failed", "indptr", "gaps", "counts", "words"])
+
+
+def _one_list(values: pa.Array) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+
+
+def _word_hashes(words: pa.Array) -> np.ndarray:
+    offsets = np.frombuffer(words.buffers()[1], np.int32)[words.offset:words.offset + len(words) + 1].astype(np.int64)
+    data = np.frombuffer(words.buffers()[2], np.uint8)[offsets[0]:offsets[-1]].astype(np.uint64)
+    places = np.arange(len(data)) - np.repeat(offsets[:-1] - offsets[0], np.diff(offsets))
+    powers = np.cumprod(np.full(int(np.diff(offsets).max(initial=0)) + 1, 0x9E3779B97F4A7C15, np.uint64))
+    return mix(np.add.reduceat(mix(data + np.uint64(1)) * powers[places], offsets[:-1] - offsets[0]))
+
+
+def _packed(buckets: int):
+    """Function for ``mapInArrow``: the word list of a shard as one row per bucket."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for shard, words in zip(batch.column("shard").to_pylist(), batch.column("words"), strict=True):
+                words = words.values
+                bucket = (_word_hashes(words) % np.uint64(buckets)).astype(np.int64) if len(words) else np.zeros(0, np.int64)
+                order = np.argsort(bucket, kind="stable")
+                own, starts = np.unique(bucket[order], return_index=True)
+                bounds = pa.array(np.append(starts, len(order)).astype(np.int32))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(own), pa.array(np.full(len(own), shard)), pa.ListArray.from_arrays(bounds, pa.array(order.astype(np.int32))),
+                        pa.ListArray.from_arrays(bounds, words.take(pa.array(order))),
+                    ],
+                    ["bucket", "shard", "places", "words"],
+                )
+
+    return pack
+
+
+def _numbered(key: tuple, group: pa.Table) -> pa.Table:
+    """The different words of a bucket (a row without shard), and their numbers in the bucket for every shard."""
+    lists = group.column("words").combine_chunks()
+    coded = lists.flatten().dictionary_encode()
+    numbers = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())]).astype(np.int32)), coded.indices.cast(pa.int32()))
+    n = len(group) + 1
+    return pa.table({
+        "bucket": pa.repeat(key[0], n), "shard": pa.concat_arrays([pa.nulls(1, pa.int64()), group.column("shard").combine_chunks()]),
+        "places": pa.concat_arrays([pa.nulls(1, pa.list_(pa.int32())), group.column("places").combine_chunks().cast(pa.list_(pa.int32()))]),
+        "numbers": pa.concat_arrays([pa.nulls(1, pa.list_(pa.int32())), numbers.cast(pa.list_(pa.int32()))]),
+        "words": pa.concat_arrays([_one_list(coded.dictionary).cast(pa.list_(pa.binary())), pa.nulls(n - 1, pa.list_(pa.binary()))]),
+    })
 
 
-def word_dictionary(shards: DataFrame) -> DataFrame:
-    """(word, id): every word of the shards (words), numbered from 0 without gaps.
+def _encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Shards with the ids of the dictionary in place of their own word numbers."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            value = {name: batch.column(name)[i] for name in batch.schema.names}
+            own = np.cumsum(value["gaps"].values.to_numpy(), dtype=np.int64)
+            columns = np.zeros(int(own.max(initial=-1)) + 1, np.int64)
+            for part in value["coded"].values or []:
+                columns[part["places"].values.to_numpy()] = part["numbers"].values.to_numpy() + part["offset"].as_py()
+            lists = [value[c].values for c in ("ids", "parts", "digests", "failed", "indptr")] + [pa.array(columns[own]), value["counts"].values]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("shard").slice(i, 1), *(_one_list(v) for v in lists)],
+                ["shard", "ids", "parts", "digests", "failed", "indptr", "indices", "counts"],
+            )
 
-    Words are numbered within the parts that they were written in; the parts'
-    offsets are one row per part and are added by a broadcast join.
-    """
-    words = shards.select(F.explode("words").alias("word")).distinct()
-    written = write_and_reread(words.withColumn("place", F.monotonically_increasing_id()), "words")
-    part, row = F.shiftright("place", 33), F.col("place").bitwiseAND((1 << 33) - 1)
-    sizes = written.groupBy(part.alias("part")).agg(F.count("*").alias("n"))
-    listed = F.array_sort(F.collect_list(F.struct("part", "n")))
-    # As many entries as the words have parts.
-    offsets = sizes.groupBy().agg(listed.alias("all")).select(F.posexplode("all").alias("at", "one"), "all").select(
-        F.col("one.part").alias("part"), F.aggregate(F.slice("all", 1, F.col("at")), F.lit(0).cast("long"), lambda total, one: total + one["n"]).alias("offset")
+
+def _local_and_coded(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Shards with word numbers of their own and the dictionary's (coded) beside them, and the dictionary (word, id)."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    read = docs.select("doc_id", "part", F.unhex(F.sha2(text.cast("binary"), 256)).alias("digest"), text.alias("text"))
+    local = read.mapInArrow(
+        _shards,
+        f"ids array<{kind}>, parts array<string>, digests array<binary>, failed array<int>, indptr array<bigint>, gaps array<int>, counts array<int>, words array<binary>",
+    )
+    local = write_and_reread(local.withColumn("shard", F.monotonically_increasing_id()), "shards")
+    entries = local.agg(F.sum(F.size("words"))).first()[0] or 0
+    packed = local.select("shard", "words").mapInArrow(
+        _packed(-(-entries // BUCKET_WORDS) or 1), "bucket bigint, shard bigint, places array<int>, words array<binary>"
+    )
+    numbered = write_and_reread(
+        packed.groupBy("bucket").applyInArrow(_numbered, "bucket bigint, shard bigint, places array<int>, numbers array<int>, words array<binary>"), "numbered"
     )
-    return written.withColumn("part", part).join(F.broadcast(offsets), "part").select("word", (row + F.col("offset")).alias("id"))
+    # A bucket's ids follow those of the buckets before it: one row of two numbers per bucket.
+    words = numbered.where("shard IS NULL")
+    before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = words.select(F.col("bucket").alias("_bucket"), F.coalesce(F.sum(F.size("words")).over(before), F.lit(0)).alias("offset"))
+    offsets = write_and_reread(offsets, "offsets")
+    same = F.col("bucket") == F.col("_bucket")
+    dictionary = words.join(offsets, same).select("offset", F.posexplode("words").alias("at", "word")).select("word", (F.col("offset") + F.col("at")).alias("id"))
+    parts = numbered.where("shard IS NOT NULL").join(offsets, same).groupBy(F.col("shard").alias("_shard")).agg(
+        F.collect_list(F.struct("offset", "places", "numbers")).alias("coded")
+    )
+    joined = local.drop("words").join(parts.hint("shuffle_hash"), F.col("shard") == F.col("_shard"), "left").drop("_shard")
+    return joined, dictionary
 
 
 def document_term_shards(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -115,44 +194,34 @@ def document_term_shards(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     The matrix has one row per shard: ids, parts, digests (SHA-256 of the text),
     failed (bits of C and D) with an entry per document, and indptr, indices,
     counts in CSR form: the entries of document i stand from indptr[i] to
-    indptr[i + 1], and indices are ids of the dictionary. A null text is empty.
+    indptr[i + 1], and indices are ids of the dictionary, which numbers the
+    corpus's words from 0 without gaps. A null text is empty.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    read = docs.select("doc_id", "part", F.unhex(F.sha2(text.cast("binary"), 256)).alias("digest"), text.alias("text"))
-    local = read.mapInArrow(
-        _shards,
-        f"ids array<{kind}>, parts array<string>, digests array<binary>, failed array<int>, indptr array<bigint>, indices array<int>, counts array<int>, words array<binary>",
-    )
-    local = write_and_reread(local.withColumn("shard", F.monotonically_increasing_id()), "shards")
-    dictionary = write_and_reread(word_dictionary(local), "dictionary")
-    # A word has one row per shard; the list of a shard is bounded by its size.
-    placed = local.select("shard", F.posexplode("words").alias("at", "word")).join(dictionary, "word")
-    columns = placed.groupBy("shard").agg(F.array_sort(F.collect_list(F.struct("at", "id")))["id"].alias("columns"))
-    joined = local.drop("words").join(columns.withColumnRenamed("shard", "_shard"), F.col("shard") == F.col("_shard"), "left")
-    coded = F.transform("indices", lambda i: F.get("columns", i))
-    return joined.select("shard", "ids", "parts", "digests", "failed", "indptr", coded.alias("indices"), "counts"), dictionary
+    joined, dictionary = _local_and_coded(docs)
+    schema = f"shard bigint, ids array<{kind}>, parts array<string>, digests array<binary>, failed array<int>, indptr array<bigint>, indices array<bigint>, counts array<int>"
+    return joined.mapInArrow(_encoded, schema), dictionary
 
 
 def _row_facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Row sums and nonzero counts of each shard's rows."""
-    for batch in batches:
-        for i in range(batch.num_rows):
-            values = {name: batch.column(name)[i].values for name in batch.schema.names}
-            indptr, counts = values["indptr"].to_numpy(), values["counts"].to_numpy()
-            sums = np.diff(np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])[indptr])
-            filled = np.concatenate([[0], np.cumsum(values["indices"].is_valid().to_numpy(zero_copy_only=False))])
-            yield pa.RecordBatch.from_arrays(
-                [values["ids"], values["parts"], values["digests"], values["failed"], pa.array(sums), pa.array(np.diff(filled[indptr]).astype(np.int64))],
-                ["doc_id", "part", "digest", "failed", "n_words", "n_distinct"],
-            )
+    for batch in _encoded(batches):
+        values = {name: batch.column(name)[0].values for name in batch.schema.names if name != "shard"}
+        indptr, counts = values["indptr"].to_numpy(), values["counts"].to_numpy()
+        sums = np.diff(np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])[indptr])
+        # Entries of a row are its different ids.
+        filled = np.concatenate([[0], np.cumsum(counts > 0)])
+        yield pa.RecordBatch.from_arrays(
+            [values["ids"], values["parts"], values["digests"], values["failed"], pa.array(sums), pa.array(np.diff(filled[indptr]).astype(np.int64))],
+            ["doc_id", "part", "digest", "failed", "n_words", "n_distinct"],
+        )
 
 
 def document_failures(docs: DataFrame) -> DataFrame:
     """(doc_id, part, failed) per row of ``docs`` (doc_id, part, text): the set of failed filters as bits, A the lowest."""
-    matrix, _ = document_term_shards(docs)
+    matrix, _ = _local_and_coded(docs)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    facts = matrix.select("ids", "parts", "digests", "failed", "indptr", "indices", "counts").mapInArrow(
+    facts = matrix.mapInArrow(
         _row_facts, f"doc_id {kind}, part string, digest binary, failed int, n_words long, n_distinct long"
     )
     short = F.col("n_words") < LEAST_WORDS

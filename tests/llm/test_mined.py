@@ -198,8 +198,8 @@ def audited(rows, labels):
     for doc, text, _ in rows:
         if doc is not None:
             low[text or ""] = min(doc, low.get(text or "", doc))
-    good = {d for d, q, _ in labels if q == 1}
-    toxic = {d for d, _, t in labels if t == 1}
+    good = {d for d, q, _ in labels if q == 1 and d is not None}
+    toxic = {d for d, _, t in labels if t == 1 and d is not None}
     parts = collections.defaultdict(list)
     for doc, text, source in rows:
         text = text or ""
@@ -238,6 +238,7 @@ def audit_rows(frame):
 
 def test_audit_equals_filters_in_turn(spark, monkeypatch, odd_documents):
     monkeypatch.setattr(filter_audit, "SHARD_BYTES", 300)
+    monkeypatch.setattr(filter_audit, "BUCKET_WORDS", 20)
     chance = random.Random(6)
     words = ["Alpha", "beta", "ga$mma", "é", "DELTA", "x y", "a\x1cb"]
     rows = [(i, chance.choice([" ", "\n", "\t "]).join(chance.choice(words[: chance.randrange(2, 8)]) for _ in range(chance.randrange(0, 90))), f"s{i % 3}") for i in range(60)]
@@ -253,6 +254,7 @@ def test_audit_equals_filters_in_turn(spark, monkeypatch, odd_documents):
 
 def test_matrix_is_that_of_the_words(spark, monkeypatch, folder):
     monkeypatch.setattr(filter_audit, "SHARD_BYTES", 20_000)
+    monkeypatch.setattr(filter_audit, "BUCKET_WORDS", 5000)
     docs = table(spark, folder, "documents").select("doc_id", F.col("source").alias("part"), "text")
     matrix, dictionary = filter_audit.document_term_shards(docs)
     words = {r.id: bytes(r.word) for r in dictionary.collect()}
