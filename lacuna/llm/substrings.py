@@ -24,6 +24,8 @@ LEAST, MOST = 16, 256
 CUT_BITS = 5
 #: Repeated bytes in a row that make a passage.
 PASSAGE = 80
+#: Bytes that the hash knows.
+REACH = 32
 _GEAR = (mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.uint32)
 _CHUNK = 1 << 20
 
@@ -45,9 +47,10 @@ def chunk_ends(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     found = []
     for i in range(len(offsets) - 1):
         begin, end = int(offsets[i]), int(offsets[i + 1])
-        # The first 31 bytes of a text also hash bytes of the text before, but no chunk ends there.
+        # The first 31 bytes of a text also hash bytes of the text before, so no chunk is cut there.
+        own = places[bounds[i]:bounds[i + 1]]
         ends, last = [], begin
-        for place in places[bounds[i]:bounds[i + 1]].tolist():
+        for place in own[own - begin >= REACH].tolist():
             while place - last > MOST:
                 last += MOST
                 ends.append(last)
@@ -64,7 +67,7 @@ def chunk_ends(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row per chunk: doc_id, start, end, digest; about a megabyte of whole texts at once."""
+    """One row per chunk: doc_id, text_hash, start, end, digest; about a megabyte of whole texts at once."""
     for batch in batches:
         sizes = np.diff(text_bytes(batch.column("text"))[1])
         cuts = np.flatnonzero(np.diff(np.cumsum(sizes) // _CHUNK, prepend=0))
@@ -85,16 +88,17 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ]
             owner = pa.array(np.repeat(np.arange(low, high), counts))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").take(owner), pa.array(starts.astype(np.int32)), pa.array(ends.astype(np.int32)), pa.array(digests, pa.binary())],
-                ["doc_id", "start", "end", "digest"],
+                [batch.column("doc_id").take(owner), batch.column("text_hash").take(owner), pa.array(starts.astype(np.int32)), pa.array(ends.astype(np.int32)), pa.array(digests, pa.binary())],
+                ["doc_id", "text_hash", "start", "end", "digest"],
             )
 
 
 def text_chunks(docs: DataFrame) -> DataFrame:
-    """doc_id, start, end (bytes), digest of every chunk of ``docs`` (doc_id, text); null and empty texts have none."""
+    """doc_id, text_hash, start, end (bytes), digest of every chunk of ``docs`` (doc_id, text); null and empty texts have none."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    read = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    return read.mapInArrow(_chunks, f"doc_id {kind}, start int, end int, digest binary")
+    text = F.col("text").cast("string")
+    read = docs.select("doc_id", F.xxhash64(text).alias("text_hash"), text.alias("text"))
+    return read.mapInArrow(_chunks, f"doc_id {kind}, text_hash bigint, start int, end int, digest binary")
 
 
 def repeated_spans(docs: DataFrame, passage: int = PASSAGE) -> DataFrame:
@@ -103,26 +107,34 @@ def repeated_spans(docs: DataFrame, passage: int = PASSAGE) -> DataFrame:
     Returns doc_id, start, end (bytes of the UTF-8 text), n_chunks, n_docs_least
     and n_docs_most (documents with the rarest and the commonest of its chunks,
     counted by occurrences), first_doc_id (least doc_id with the span's first
-    chunk), duplicate (whether some other document with a lesser id holds every
-    chunk of it: cutting the spans where it is true leaves one copy). A document
-    without repeats has no rows, nor has a null text; repeats within one document
-    alone do not count. Rows with equal doc_id are one document; null ids are
-    left out.
+    chunk), duplicate (whether each of its chunks stands in a document before
+    this one, not always the same: cutting the spans where it is true leaves one
+    copy). A span ends where that changes, and on a border of chunks: up to a
+    chunk at either end of what repeats is not part of it. A document without
+    repeats has no rows, nor has a null text; repeats within one document alone
+    do not count. Rows with equal doc_id and text are one document, unlike texts
+    with one id are two, neither of them before the other. Null ids come last;
+    among themselves their texts are ordered by a hash.
     """
-    chunks = text_chunks(docs.where("doc_id IS NOT NULL"))
+    chunks = text_chunks(docs).withColumn("place", F.xxhash64("doc_id", "text_hash"))
     # Summed before the shuffle, so a chunk that a third of all rows hold sends one row per task.
-    repeated = chunks.groupBy("digest").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
-    repeated = write_and_reread(repeated.select("digest", "n", "first"), "repeated")
+    found = chunks.groupBy("digest").agg(
+        F.count("*").alias("n"), F.min("doc_id").alias("first"), F.min("place").alias("low"), F.max("place").alias("high")
+    )
+    repeated = write_and_reread(found.where("low <> high").select("digest", "n", "first", "low"), "repeated")
     # Both sides are dealt by digest; a digest with very many rows is split, as the other side has one.
-    found = write_and_reread(chunks.join(repeated, "digest").select("doc_id", "start", "end", "n", "first"), "found").distinct()
-    before = Window.partitionBy("doc_id").orderBy("start", "end")
-    opens = F.when(F.col("start") == F.lag("end").over(before), 0).otherwise(1)
+    later = F.coalesce(F.col("doc_id") > F.col("first"), F.when(F.col("first").isNotNull(), True), F.col("place") != F.col("low"))
+    joined = chunks.join(repeated, "digest").select("doc_id", "text_hash", "start", "end", "n", "first", later.alias("later"))
+    found = write_and_reread(joined, "found").distinct()
+    before = Window.partitionBy("doc_id", "text_hash").orderBy("start", "end")
+    same = (F.col("start") == F.lag("end").over(before)) & (F.col("later") == F.lag("later").over(before))
+    opens = F.when(same, 0).otherwise(1)
     runs = found.withColumn("opens", opens).withColumn("run", F.sum("opens").over(before.rowsBetween(Window.unboundedPreceding, 0)))
-    spans = runs.groupBy("doc_id", "run").agg(
+    spans = runs.groupBy("doc_id", "text_hash", "run").agg(
         F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("n_chunks"),
         F.min("n").alias("n_docs_least"), F.max("n").alias("n_docs_most"),
-        F.min_by("first", "start").alias("first_doc_id"), F.max(F.col("first")).alias("latest"),
+        F.min_by("first", "start").alias("first_doc_id"), F.first("later").alias("duplicate"),
     )
     return spans.where(F.col("end") - F.col("start") >= passage).select(
-        "doc_id", "start", "end", "n_chunks", "n_docs_least", "n_docs_most", "first_doc_id", (F.col("latest") < F.col("doc_id")).alias("duplicate")
+        "doc_id", "start", "end", "n_chunks", "n_docs_least", "n_docs_most", "first_doc_id", "duplicate"
     )
