@@ -24,6 +24,7 @@ from lacuna.session import write_and_reread
 
 from .components import connected_components
 from .shingles import mix, shingle_hashes, text_bytes, word_hashes
+from .text import unused
 
 THRESHOLD = 0.8
 #: Texts at the threshold share a key with probability 0.41 a band, so 3 in a million are missed.
@@ -206,10 +207,11 @@ def _hashed(narrow: DataFrame) -> DataFrame:
 
 
 def near_duplicate_classes(docs: DataFrame) -> DataFrame:
-    """doc_id, node (md5 of the text) and class_id of every row of ``docs`` (doc_id, text).
+    """doc_id, node (md5 of the text), root and class_id of every row of ``docs`` (doc_id, text).
 
-    The class of a text holds all texts reachable by links; its id is the least
-    doc_id of their rows. Equal texts share a class. Texts without words link
+    The class of a text holds all texts reachable by links. Its root is one of
+    them and tells classes apart; its id is the least doc_id of their rows, which
+    two classes may share if unlike texts have one id, or none. Equal texts share a class. Texts without words link
     with equal texts only; a row with a null text is a class of its own, whose
     id is its doc_id. Repeated rows stay repeated; null ids count as no id.
     """
@@ -233,26 +235,32 @@ def near_duplicate_classes(docs: DataFrame) -> DataFrame:
     linked = connected_components(links)
     classed = texts.select("node", "doc_id").join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = write_and_reread(classed.groupBy("root").agg(F.min("doc_id").alias("class_id")), "least")
-    classes = write_and_reread(classed.join(least, "root").select(F.col("node").alias("_node"), "class_id"), "classes")
+    classes = write_and_reread(classed.join(least, "root").select(F.col("node").alias("_node"), "root", "class_id"), "classes")
     rows = docs.select("doc_id", F.unhex(F.md5(text)).alias("node"))
     return rows.join(classes, F.col("node") == F.col("_node"), "left").select(
-        "doc_id", "node", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id")
+        "doc_id", "node", "root", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id")
     )
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
     """One row of each class, that of its least doc_id, with all columns; rows with a null text stay.
 
-    Of rows equal in doc_id and text any one stays.
+    A null id comes after all others. Of several texts with the least id the one
+    with the least digest stays, of rows equal in doc_id and text any one.
     """
     text = F.col("text").cast("string")
-    found = near_duplicate_classes(docs).where("node IS NOT NULL AND doc_id <=> class_id")
-    # The least id may have several texts, of which the least digest stays; rows are counted to see repeats.
-    kept = found.groupBy("class_id", "node").agg(F.count("*").alias("_times")).groupBy("class_id").agg(
-        F.min_by("_times", "node").alias("_times"), F.min("node").alias("_node")
+    found = near_duplicate_classes(docs.select("doc_id", "text")).where("node IS NOT NULL")
+    # Copies are summed before the shuffle; a class then has a row per different id and text.
+    counted = found.groupBy("root", "doc_id", "node").agg(F.count("*").alias("times"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "node", "times"))
+    own_id, node, times = unused(docs, "_id", "_node", "_times")
+    kept = counted.groupBy("root").agg(first.alias("first")).select(
+        F.col("first.doc_id").alias(own_id), F.col("first.node").alias(node), F.col("first.times").alias(times)
     )
-    kept = write_and_reread(kept.withColumnRenamed("class_id", "_id"), "kept")
-    same = (F.unhex(F.md5(text)) == F.col("_node")) & F.col("doc_id").eqNullSafe(F.col("_id"))
-    single = docs.join(_hashed(kept.where("_times = 1")), same, "left_semi")
-    repeated = docs.join(_hashed(kept.where("_times > 1")), same, "left_semi").dropDuplicates(["doc_id", "text"])
-    return single.unionByName(repeated).unionByName(docs.where(text.isNull()))
+    kept = write_and_reread(kept, "kept")
+    same = (F.unhex(F.md5(text)) == F.col(node)) & F.col("doc_id").eqNullSafe(F.col(own_id))
+    several = F.col(times) > 1
+    rows = docs.join(_hashed(kept.where(~several)), same, "left_semi")
+    if not kept.where(several).isEmpty():
+        rows = rows.unionByName(docs.join(_hashed(kept.where(several)), same, "left_semi").dropDuplicates(["doc_id", "text"]))
+    return rows.unionByName(docs.where(text.isNull()))

@@ -29,7 +29,7 @@ def op1_substring_dedup(spark, folder):
 
 def op2_minhash_near_dedup(spark, folder):
     found = near_duplicate_classes(table(spark, folder, "documents"))
-    return found.select("doc_id", "class_id", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
+    return found.select("doc_id", "class_id", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"), F.lower(F.hex("root")).alias("class_root"))
 
 
 def op3_language_id(spark, folder):
