@@ -1,9 +1,10 @@
 """Language of a text by a bidirectional gated recurrent network over bytes.
 
 UTF-8 bytes are cut into windows of ``WINDOW`` bytes, all of them, whatever the
-length of the text. One network reads a window forwards, one backwards, ``STEP``
-bytes at a time; from both states each position gets a probability per language,
-and a document's probabilities are the means over its positions. The network is
+length of the text; the states start anew at each window. One network reads a
+window forwards, one backwards, byte by byte; from both states each position gets
+a probability per language, and a document's probabilities are the means over its
+positions. The network is
 trained on the driver in numpy by backpropagation through time, from a bounded
 sample of labelled rows, and travels to the tasks as one small broadcast.
 """
@@ -18,29 +19,29 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .shingles import text_bytes
-from .text import bounded_sample
+from .text import bounded_sample, unused
 
 WINDOW = 64
-STEP = 2
 HIDDEN = 8
 #: Labelled rows that the fit may use, and pieces taken from each, spread over its whole text.
 SAMPLE_ROWS = 3000
 PIECES = 6
-EPOCHS = 6
+#: Steps of gradient descent, however many pieces there are, and pieces per step.
+UPDATES = 420
 BATCH = 256
 SEED = 11
 #: Windows handled at once in a task.
 BLOCK = 4096
 
 UNKNOWN = "und"
-#: A text scored lower is in no language that was learned; between four, chance would give 0.25.
-LEAST_SCORE = 0.35
+#: Where between chance (one language in so many) and certainty the score of a text in a learned language must lie at least.
+LEAST_CERTAINTY = 0.3
 
 
 @dataclass
 class Network:
     languages: list[str]
-    #: Per direction: input weights (STEP, 256, 3H), recurrent weights (H, 3H), biases (3H).
+    #: Per direction: input weights (256, 3H), recurrent weights (H, 3H), biases (3H).
     inputs: list[np.ndarray]
     recurrent: list[np.ndarray]
     bias: list[np.ndarray]
@@ -59,15 +60,14 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 def _states(net: Network, codes: np.ndarray, way: int, keep: list | None = None) -> np.ndarray:
     """States (steps, rows, H) of one direction over codes (rows, WINDOW); ``keep`` gets what the way back needs."""
     rows, hidden = len(codes), net.recurrent[way].shape[0]
-    steps = codes.shape[1] // STEP
+    steps = codes.shape[1]
     state = np.zeros((rows, hidden), np.float32)
     states = np.empty((steps, rows, hidden), np.float32)
     gate_weights = np.ascontiguousarray(net.recurrent[way][:, : 2 * hidden])
     new_weights = np.ascontiguousarray(net.recurrent[way][:, 2 * hidden:])
+    by_byte = net.inputs[way] + net.bias[way]
     for t in range(steps) if way == 0 else range(steps - 1, -1, -1):
-        read = net.bias[way] + net.inputs[way][0].take(codes[:, t * STEP], axis=0)
-        for j in range(1, STEP):
-            read += net.inputs[way][j].take(codes[:, t * STEP + j], axis=0)
+        read = by_byte.take(codes[:, t], axis=0)
         gates = _sigmoid(read[:, : 2 * hidden] + state @ gate_weights)
         update, reset = gates[:, :hidden], gates[:, hidden:]
         new = np.tanh(read[:, 2 * hidden:] + (reset * state) @ new_weights)
@@ -87,7 +87,7 @@ def _label(net: Network, both: np.ndarray) -> np.ndarray:
 
 
 def probabilities(net: Network, codes: np.ndarray) -> np.ndarray:
-    """(steps, rows, languages) label probabilities; the bytes of one step share them."""
+    """(positions, rows, languages) label probabilities."""
     return _label(net, np.concatenate([_states(net, codes, 0), _states(net, codes, 1)], axis=-1))
 
 
@@ -116,8 +116,7 @@ def _gradients(net: Network, codes: np.ndarray, labels: np.ndarray, present: np.
             d_rec[:, : 2 * hidden] += before.T @ d_read[:, : 2 * hidden]
             d_rec[:, 2 * hidden:] += (reset * before).T @ d_new
             d_b += d_read.sum(axis=0)
-            for j in range(STEP):
-                np.add.at(d_in[j], codes[:, t * STEP + j], d_read)
+            np.add.at(d_in, codes[:, t], d_read)
             d_state = (
                 d_state * update + d_read[:, : 2 * hidden] @ weights[:, : 2 * hidden].T
                 + reset * (d_new @ weights[:, 2 * hidden:].T)
@@ -128,7 +127,7 @@ def _gradients(net: Network, codes: np.ndarray, labels: np.ndarray, present: np.
     return [*d_inputs, *d_recurrent, *d_bias, d_out, d_out_bias]
 
 
-def train(pieces: list[bytes], labels: list[str], hidden: int = HIDDEN, epochs: int = EPOCHS, seed: int = SEED) -> Network | None:
+def train(pieces: list[bytes], labels: list[str], hidden: int = HIDDEN, updates: int = UPDATES, seed: int = SEED) -> Network | None:
     """A network fitted to windows of bytes; None without any. Equal input gives an equal network."""
     languages = sorted(set(labels))
     if not languages:
@@ -139,7 +138,7 @@ def train(pieces: list[bytes], labels: list[str], hidden: int = HIDDEN, epochs:
         return (chance.standard_normal(shape) * size).astype(np.float32)
 
     net = Network(
-        languages, [drawn(STEP, 256, 3 * hidden, size=0.3) for _ in "fb"],
+        languages, [drawn(256, 3 * hidden, size=0.3) for _ in "fb"],
         [drawn(hidden, 3 * hidden, size=hidden**-0.5) for _ in "fb"], [np.zeros(3 * hidden, np.float32) for _ in "fb"],
         drawn(2 * hidden, len(languages), size=0.3), np.zeros(len(languages), np.float32),
     )
@@ -149,14 +148,14 @@ def train(pieces: list[bytes], labels: list[str], hidden: int = HIDDEN, epochs:
         codes[i, : len(part)], present[i, : len(part)] = part, True
     marks = np.searchsorted(languages, labels)
     first, second = [np.zeros_like(p) for p in net.parameters()], [np.zeros_like(p) for p in net.parameters()]
-    done, rounds = 0, epochs * -(-len(pieces) // BATCH)
-    for _ in range(epochs):
+    done = 0
+    while done < updates:
         order = chance.permutation(len(pieces))
-        for at in range(0, len(order), BATCH):
+        for at in range(0, len(order), BATCH)[: updates - done]:
             rows = order[at:at + BATCH]
-            seen = present[rows].reshape(len(rows), -1, STEP).any(axis=2).T.astype(np.float32)
+            seen = present[rows].T.astype(np.float32)
             done += 1
-            rate = 0.02 * (1 - 0.9 * done / rounds)
+            rate = 0.02 * (1 - 0.9 * done / updates)
             for p, g, a, b in zip(net.parameters(), _gradients(net, codes[rows], marks[rows], seen), first, second, strict=True):
                 a += 0.1 * (g - a)
                 b += 0.01 * (g * g - b)
@@ -177,8 +176,7 @@ def _pooled(net: Network, data: np.ndarray, starts: np.ndarray, lengths: np.ndar
         block = slice(at, at + BLOCK)
         there = places < size[block, None]
         codes = np.where(there, data.take(begin[block, None] + places, mode="clip"), 0)
-        per_step = there.reshape(len(codes), -1, STEP).sum(axis=2).T
-        found = np.einsum("tr,trl->rl", per_step, probabilities(net, codes))
+        found = np.einsum("tr,trl->rl", there.T.astype(np.float32), probabilities(net, codes))
         for language in range(len(net.languages)):
             sums[:, language] += np.bincount(owner[block], found[:, language], len(lengths))
     return sums / np.maximum(lengths, 1)[:, None]
@@ -240,16 +238,25 @@ def identify(docs: DataFrame, net: Network | None, keep: list[str], names: tuple
     """
     text = F.col("text").cast("string")
     lettered = F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
-    read = docs.select(*[F.col(f"`{c}`") for c in keep], text.alias("_read"), lettered.alias("_lettered"))
+    own = unused(docs, "_read", "_lettered")
+    read = docs.select(*[F.col(f"`{c}`") for c in keep], text.alias(own[0]), lettered.alias(own[1]))
     schema = T.StructType([docs.schema[c] for c in keep]).add(names[0], "string").add(names[1], "double")
     return read.mapInArrow(_predictor(net, keep, names), schema)
 
 
-def keep_identified(docs: DataFrame, least: float = LEAST_SCORE, **options) -> DataFrame:
+def least_score(net: Network | None, certainty: float = LEAST_CERTAINTY) -> float:
+    """The score that a text in a learned language reaches: chance, and a share of what is left to certainty."""
+    chance = 1 / len(net.languages) if net else 1.0
+    # One language alone is always certain.
+    return chance + certainty * (1 - chance) if chance < 1 else 0.0
+
+
+def keep_identified(docs: DataFrame, certainty: float = LEAST_CERTAINTY, **options) -> DataFrame:
     """The rows of ``docs`` in a language that is known well enough, with all their columns."""
-    names = ("_lang_pred", "_lang_score")
-    found = identify(docs, fit(docs, **options), docs.columns, names)
-    return found.where((F.col(names[0]) != UNKNOWN) & (F.col(names[1]) >= least)).select(docs.columns)
+    names = unused(docs, "_lang_pred", "_lang_score")
+    net = fit(docs, **options)
+    found = identify(docs, net, docs.columns, tuple(names))
+    return found.where((F.col(names[0]) != UNKNOWN) & (F.col(names[1]) >= least_score(net, certainty))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def language_table(docs: DataFrame, **options) -> DataFrame:
