@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from lacuna.session import write_and_reread
 
-from .text import let, words_of
+from .text import let, unused, words_of
 
 WINDOW = 10
 GRAM = 5
@@ -166,8 +166,9 @@ def contamination(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
 
 def decontaminate(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     """The documents without any occurrence, with all their columns."""
-    found = find_passages(docs, items, **options).where("n_hit > 0").select(
-        F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")
+    own_id, own_hash = unused(docs, "_id", "_hash")
+    found = find_passages(docs.select("doc_id", "text"), items, **options).where("n_hit > 0").select(
+        F.col("doc_id").alias(own_id), F.col("text_hash").alias(own_hash)
     )
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("_hash"))
+    same = F.col("doc_id").eqNullSafe(F.col(own_id)) & (F.xxhash64(F.col("text").cast("string")) == F.col(own_hash))
     return docs.join(found, same, "left_anti")

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from lacuna.session import write_and_reread
 
-from .text import bounded_sample, let, words_of
+from .text import bounded_sample, let, unused, words_of
 
 #: Shares of tokens that the mixture should have.
 TARGETS = {"high": 0.91, "low": 0.085, "toxic": 0.005}
@@ -191,10 +191,11 @@ def copies(rate: Column, *keys: Column) -> Column:
 
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, budget: float | None = None) -> DataFrame:
     """``docs`` with each row as often as its rate says, with all its columns."""
-    found = mixture(docs, labels, targets, budget)
+    own_id, own_hash, times, nth = unused(docs, "_id", "_hash", "_copies", "_copy")
+    found = mixture(docs.select("doc_id", "text"), labels, targets, budget)
     plan = found.select(
-        F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), copies(F.col("rate"), F.col("doc_id"), F.col("text_hash")).alias("_copies")
-    ).where("_copies > 0")
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("_hash"))
-    repeated = docs.join(plan, same).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-    return repeated.select(*docs.columns)
+        F.col("doc_id").alias(own_id), F.col("text_hash").alias(own_hash), copies(F.col("rate"), F.col("doc_id"), F.col("text_hash")).alias(times)
+    ).where(F.col(times) > 0)
+    same = F.col("doc_id").eqNullSafe(F.col(own_id)) & (F.xxhash64(F.col("text").cast("string")) == F.col(own_hash))
+    repeated = docs.join(plan, same).withColumn(nth, F.explode(F.sequence(F.lit(1), F.col(times))))
+    return repeated.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -24,7 +24,7 @@ def odd_documents(spark):
         (9, "lang " * 30000, "en"), (10, "Über den Wolken muss die Freiheit wohl grenzenlos sein " * 5, "de"), (None, None, None),
     ]
     schema = "doc_id long, text string, lang string"
-    more = {name: name for name in ("node", "score", "lang_pred", "shard", "slot", "size", "n_words", "domain", "rate", "key", "text_hash")}
+    more = {name: name for name in ("node", "score", "lang_pred", "shard", "slot", "size", "n_words", "domain", "rate", "key", "text_hash", "_id", "_node", "_hash", "_read", "_lettered", "_copies", "_copy", "_times", "_lang_pred")}
     from pyspark.sql import functions as F
 
     return spark.createDataFrame(rows, schema).select("*", *[F.lit(v).alias(k) for k, v in more.items()])
