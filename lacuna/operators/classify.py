@@ -14,7 +14,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lacuna.functions import category_of, code_of
+from lacuna.functions import Encoder, as_encoder, category_of, code_of
 
 from .clean import feature_array, feature_width
 from .missing import in_training_part
@@ -44,19 +44,18 @@ def plan_training(
     df: DataFrame,
     features: Sequence[str] | str,
     target: str,
-    codes: Mapping[str, int],
+    codes: Mapping[str, int] | Encoder,
     mode: str = "known",
     split_seed: int = 1234,
     row_id: str = "line_id",
 ) -> TrainingPlan:
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}, not {mode!r}")
-    if sorted(codes.values()) != list(range(1, len(codes) + 1)):
-        raise ValueError("codes must be 1..n, one for each category")
+    encoder = as_encoder(codes)
     rows = feature_array(df, features, target, row_id).select(
         "line_id",
         "value",
-        code_of(F.col("value"), codes).alias("code"),
+        code_of(F.col("value"), encoder.encode).alias("code"),
         array_to_vector("features").alias("features"),
     )
     if mode == "known":
@@ -64,7 +63,7 @@ def plan_training(
     else:
         training = in_training_part(70, split_seed)
         train, ask, first_code = rows.where(training), rows.where(~training & (F.col("code") == 0)), 0
-    classes = len(codes) + 1 - first_code
+    classes = encoder.classes + 1 - first_code
     # Naming the classes in the column's metadata spares the learner a pass
     # over the data to count them.
     nominal = {"ml_attr": {"type": "nominal", "vals": [str(c + first_code) for c in range(classes)]}}
@@ -72,7 +71,7 @@ def plan_training(
     return TrainingPlan(train.select(label, "features"), ask.select("line_id", "features"), classes, first_code, feature_width(df, features))
 
 
-def impute_by(estimator: Estimator, plan: TrainingPlan, codes: Mapping[str, int]) -> DataFrame:
+def impute_by(estimator: Estimator, plan: TrainingPlan, codes: Mapping[str, int] | Encoder) -> DataFrame:
     """Fit on the training rows; ``line_id, imputed_value, imputed_code`` for the rest.
 
     A predicted code 0 (possible in compat mode) has no category and gives null.
@@ -81,7 +80,7 @@ def impute_by(estimator: Estimator, plan: TrainingPlan, codes: Mapping[str, int]
     code = F.col("prediction") + plan.first_code
     return predicted.select(
         "line_id",
-        category_of(code, codes).alias("imputed_value"),
+        category_of(code, as_encoder(codes).codes).alias("imputed_value"),
         code.alias("imputed_code"),
     )
 
@@ -90,7 +89,7 @@ def tree_impute(
     df: DataFrame,
     features: Sequence[str] | str,
     target: str,
-    codes: Mapping[str, int],
+    codes: Mapping[str, int] | Encoder,
     *,
     mode: str = "known",
     impurity: str = "gini",
@@ -109,7 +108,7 @@ def forest_impute(
     df: DataFrame,
     features: Sequence[str] | str,
     target: str,
-    codes: Mapping[str, int],
+    codes: Mapping[str, int] | Encoder,
     *,
     mode: str = "known",
     num_trees: int = 10,
@@ -139,7 +138,7 @@ def perceptron_impute(
     df: DataFrame,
     features: Sequence[str] | str,
     target: str,
-    codes: Mapping[str, int],
+    codes: Mapping[str, int] | Encoder,
     *,
     mode: str = "known",
     layers: Sequence[int] | None = None,

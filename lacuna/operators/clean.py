@@ -56,8 +56,10 @@ def feature_width(df: DataFrame, features: Sequence[str] | str) -> int:
     return widths[0] or 0
 
 
-def feature_array(df: DataFrame, features: Sequence[str] | str, target: str, row_id: str = "line_id") -> DataFrame:
-    """Clean rows as ``row_id, target, features array<double>``.
+def feature_array(
+    df: DataFrame, features: Sequence[str] | str, target: str, row_id: str = "line_id", also: Sequence[str] = ()
+) -> DataFrame:
+    """Clean rows as ``row_id, target, features array<double>``, and the columns ``also``.
 
     ``features`` is a list of columns, or the name of one array column that
     already holds all of them.
@@ -75,4 +77,5 @@ def feature_array(df: DataFrame, features: Sequence[str] | str, target: str, row
         F.col(row_id).cast("bigint").alias("line_id"),
         F.col(target).cast("string").alias("value"),
         values.alias("features"),
+        *also,
     )

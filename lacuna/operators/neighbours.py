@@ -46,8 +46,8 @@ def _first(df: DataFrame, keys: Sequence[str], order: Sequence[str], k: int) ->
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("rank") <= k)
 
 
-def _lowest_ids_per_place(known: DataFrame, k: int) -> DataFrame:
-    """Of known rows with equal features, the k lowest ids.
+def _lowest_ids_per_place(known: DataFrame, k: int, also: Sequence[str] = ()) -> DataFrame:
+    """Of known rows with equal features (and equal ``also``), the k lowest ids.
 
     Exact: such rows are equally far from everything and ties go to the lowest
     id, so no further copy can be among k neighbours. The limit is applied
@@ -56,7 +56,7 @@ def _lowest_ids_per_place(known: DataFrame, k: int) -> DataFrame:
     """
     # Leading with a hash lets Spark sort by a number and look at the arrays
     # only where two hashes are equal.
-    return _first(known.withColumn("place", F.xxhash64("features")), ["place", "features"], ["line_id"], k).drop("place", "rank")
+    return _first(known.withColumn("place", F.xxhash64("features")), ["place", "features", *also], ["line_id"], k).drop("place", "rank")
 
 
 def nearest(
@@ -84,10 +84,39 @@ def nearest(
     blocks = make_blocks(points, known, k, width, rows_per_block)
     if blocks.missing_rows and not blocks.known_rows:
         raise ValueError(f"{target!r} is missing in every usable row, so there is nothing to impute from")
-    found = nearest_in_pairs(blocks, candidate_pairs(blocks, k, width), k, width)
+    found = nearest_in_pairs(blocks, candidate_pairs(blocks, k, width), k, width).drop("since", "until")
     return _first(found, ["line_id"], ["d2", "neighbour_id"], k)
 
 
+def nearest_by_step(
+    df: DataFrame, features: Sequence[str] | str, target: str, step: str, ks: Sequence[int],
+    row_id: str = "line_id", rows_per_block: int = ROWS_PER_BLOCK,
+) -> DataFrame:
+    """The nearest known rows at several steps of nested missingness, by one search.
+
+    ``step`` is a column with the first step (from 0) at which a row's target is
+    missing, or ``len(ks)`` if it never is; a row without a target is missing at
+    all of them. ``ks`` has the number of neighbours for each step and must not
+    fall. Returns ``line_id, step, neighbour_id, value, d2, rank``.
+    """
+    ks = list(ks)
+    if not ks or min(ks) < 1 or sorted(ks) != ks:
+        raise ValueError("ks must be at least 1 and must not fall")
+    last = len(ks) - 1
+    points = feature_array(df, features, target, row_id, [F.least(F.coalesce(F.col(step), F.lit(len(ks))), F.lit(len(ks))).cast("int").alias("step")])
+    points = points.withColumn("step", F.when(F.col("value").isNull(), 0).otherwise(F.col("step")))
+    width = feature_width(df, features)
+    known = points.where(F.col("value").isNotNull() & (F.col("step") > 0)).withColumn("step", F.col("step") - 1)
+    asking = points.where(F.col("step") <= last).withColumn("value", F.lit(None).cast("string"))
+    blocks = make_blocks(points, _lowest_ids_per_place(known, ks[-1], ["step"]), ks[-1], width, rows_per_block, asking, last)
+    if blocks.missing_rows and not blocks.known_rows:
+        raise ValueError(f"{target!r} is missing in every usable row, so there is nothing to impute from")
+    found = nearest_in_pairs(blocks, candidate_pairs(blocks, ks[-1], width), ks, width)
+    each = found.withColumn("step", F.explode(F.sequence("since", "until"))).drop("since", "until")
+    wanted = F.element_at(F.array(*[F.lit(k) for k in ks]), F.col("step") + 1)
+    return _first(each, ["line_id", "step"], ["d2", "neighbour_id"], ks[-1]).where(F.col("rank") <= wanted)
+
+
 def votes(neighbours: DataFrame) -> DataFrame:
     """Neighbours per class: ``line_id, value, votes``."""
     return neighbours.groupBy("line_id", "value").agg(F.count("*").alias("votes"))

@@ -207,12 +207,17 @@ def all_oracles() -> dict[str, str]:
         "knn_impute_part": f"WITH {_PART} SELECT * FROM imputed",
         "score_detail": detail,
         "detail_sink": detail,
+        "score_detail_sql": detail,
+        "report_store": f"WITH {_CUSTOMER}, total AS ({_SUMMARY}) SELECT total.*, 'knn' AS method, percent FROM total, (SELECT unnest([10.0::DOUBLE, 20.0::DOUBLE]) AS percent)",
         "knn_summary": summary,
         "report_sink": summary,
         "dt_stump": _STUMP,
         "dt_impute_stump": f"{_STUMP_DETAIL} SELECT * FROM detail",
         "rf_impute_stump": f"{_STUMP_DETAIL} SELECT * FROM detail",
         "dt_summary_stump": f"{_STUMP_DETAIL} {_SUMMARY}",
+        "dt_impute_encoder": f"{_STUMP_DETAIL} SELECT * FROM detail",
+        "knn_hashed_recall": f"""SELECT count(*) AS asked, TRUE AS all_full, TRUE AS recall_reached, TRUE AS distances_true
+            FROM orders WHERE {_erased('o_orderkey')}""",
         "knn_summary_exact": _summary_exact("12.5"),
         "knn_impute_lineitem": _LINEITEM,
         "pairwise_distance_embeddings": f"""
@@ -225,6 +230,9 @@ def all_oracles() -> dict[str, str]:
         ),
         "compare_grid_knn": _grid(_knn_cell(percent) for percent in PERCENTS),
     }
+    for name in ("dt_impute_nodes", "rf_impute_nodes", "mlp_impute_weights"):
+        # That the table says what the learner says; the tests redo it in SQL over the written tables.
+        named[name] = f"SELECT o_orderkey AS line_id, TRUE AS agrees, TRUE AS in_domain FROM orders WHERE {_erased('o_orderkey')}"
     for short in ("dt", "rf", "mlp"):
         named[f"scored_rows_{short}"] = _scored("known")
         named[f"scored_rows_{short}_compat"] = _scored("compat")

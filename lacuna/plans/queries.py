@@ -2,12 +2,12 @@
 
 from collections.abc import Callable
 
-from pyspark.ml.classification import DecisionTreeClassifier
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.classification import DecisionTreeClassifier, MultilayerPerceptronClassifier, RandomForestClassifier
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lacuna.functions import category_of, code_of, discover_codes, is_number, to_double, to_long, to_text
+from lacuna.functions import category_of, code_of, discover_codes, fit_encoder, is_number, to_double, to_long, to_text
 from lacuna.operators import (
     cast_features,
     distance_to_row,
@@ -17,9 +17,15 @@ from lacuna.operators import (
     in_training_part,
     knn_impute,
     nearest,
+    nearest_hashed,
+    node_table,
+    perceptron_class,
     plan_training,
     project_attributes,
+    tree_class,
     votes,
+    walk_nodes,
+    weight_table,
 )
 from lacuna.session import written_path
 from lacuna.sources import as_text, load_csv, load_parquet, with_row_id, write_detail
@@ -218,6 +224,26 @@ def knn_impute_lineitem(spark, folder):
     return knn_impute(erase(lines, "l_returnflag", PERCENT), features, "l_returnflag", K)
 
 
+def knn_neighbours_hashed(spark, folder):
+    """The approximate search; it has no SQL, as what it misses depends on its buckets."""
+    damaged = erase(_orders(spark, folder), "o_orderstatus", PERCENT)
+    return nearest_hashed(damaged, ORDER_FEATURES, "o_orderstatus", K, bucket_rows=256)
+
+
+def knn_hashed_recall(spark, folder):
+    """The approximate search beside the exact one: rows asked, whether all got k, recall of 0.9, true distances."""
+    damaged = erase(_orders(spark, folder), "o_orderstatus", PERCENT)
+    exact = nearest(damaged, ORDER_FEATURES, "o_orderstatus", K)
+    found = knn_neighbours_hashed(spark, folder).withColumnsRenamed({"d2": "found_d2", "rank": "found_rank"}).drop("value")
+    both = found.join(exact, ["line_id", "neighbour_id"], "full")
+    return both.agg(
+        F.count_distinct("line_id").alias("asked"),
+        (F.count("found_rank") == K * F.count_distinct("line_id")).alias("all_full"),
+        (F.count_if(F.col("found_rank").isNotNull() & F.col("rank").isNotNull()) >= 0.9 * F.count("rank")).alias("recall_reached"),
+        F.bool_and(F.coalesce(F.col("found_d2") == F.col("d2"), F.lit(True))).alias("distances_true"),
+    )
+
+
 # --- scoring -----------------------------------------------------------------
 
 
@@ -229,6 +255,25 @@ def score_detail(spark, folder):
     return _knn_report(spark, folder).detail.orderBy("line_id")
 
 
+def score_detail_sql(spark, folder):
+    """The scorer as a user's SQL over named tables."""
+    customer = _customer(spark, folder)
+    return _knn_report(spark, folder).sql(
+        """SELECT d.line_id, o.c_mktsegment AS original_value, d.imputed_value,
+            CAST(d.imputed_value <> o.c_mktsegment AS INT) AS error FROM {detail} d JOIN {original} o ON d.line_id = o.line_id""",
+        original=customer,
+    )
+
+
+def report_store(spark, folder):
+    """Two cells stored, one of them twice: the store holds each once."""
+    path = written_path(spark, "store")
+    first = _knn_report(spark, folder)
+    for percent in (10, 20, 10):
+        first.store(path, "knn", percent)
+    return load_parquet(spark, f"{path}/summary")
+
+
 def detail_sink(spark, folder):
     path = written_path(spark, "detail")
     write_detail(_knn_report(spark, folder).detail, path)
@@ -319,6 +364,62 @@ def _scored_embeddings(method, **settings):
     return query
 
 
+def _first_letter(column):
+    """An encoder that is an expression: the place of the first letter in the alphabet."""
+    return F.ascii(column) - 64
+
+
+def dt_impute_encoder(spark, folder):
+    """The depth-1 tree with codes from an expression, and their way back from the data."""
+    customer = _customer(spark, folder)
+    codes = fit_encoder(customer, "c_mktsegment", _first_letter)
+    return run_experiment(customer, ["c_nationkey"], "c_mktsegment", "tree", PERCENT, codes=codes, max_depth=1).detail
+
+
+def _compiled(spark, folder, fitted):
+    """Learner and table side by side for every missing order: the class by each, and whether they agree."""
+    damaged = erase(_orders(spark, folder), "o_orderstatus", PERCENT)
+    plan = plan_training(damaged, ORDER_FEATURES, "o_orderstatus", ORDER_CODES)
+    model, classes = fitted(plan)
+    predicted = model.transform(plan.ask).select("line_id", vector_to_array("features").alias("features"), F.col("prediction").cast("int").alias("predicted"))
+    known = F.col("predicted").between(0, len(ORDER_CODES) - 1)
+    return classes(predicted).select("line_id", (F.col("class") == F.col("predicted")).alias("agrees"), known.alias("in_domain"))
+
+
+def dt_impute_nodes(spark, folder):
+    """A tree of depth 5 compiled from its node table into one expression."""
+
+    def fitted(plan):
+        model = DecisionTreeClassifier(maxDepth=5, maxBins=32, seed=42).fit(plan.train)
+        nodes = node_table(spark, model).collect()
+        return model, lambda rows: rows.withColumn("class", tree_class(nodes, F.col("features")))
+
+    return _compiled(spark, folder, fitted)
+
+
+def rf_impute_nodes(spark, folder):
+    """Ten trees walked by joins with their node table, votes included."""
+
+    def fitted(plan):
+        model = RandomForestClassifier(numTrees=10, maxDepth=5, maxBins=32, seed=42).fit(plan.train)
+        nodes = node_table(spark, model)
+        return model, lambda rows: rows.join(walk_nodes(rows, nodes, 5), "line_id")
+
+    return _compiled(spark, folder, fitted)
+
+
+def mlp_impute_weights(spark, folder):
+    """A perceptron's forward pass as an expression over its weight table."""
+
+    def fitted(plan):
+        layers = [plan.width, 5, plan.classes]
+        model = MultilayerPerceptronClassifier(layers=layers, blockSize=128, maxIter=145, seed=1234).fit(plan.train)
+        weights = weight_table(spark, model, layers).collect()
+        return model, lambda rows: rows.withColumn("class", perceptron_class(weights, F.col("features")))
+
+    return _compiled(spark, folder, fitted)
+
+
 def dt_stump(spark, folder):
     """Depth-1 tree from nation to market segment: the rows on each side of its split."""
     customer = _customer(spark, folder)
@@ -380,7 +481,11 @@ def all_queries() -> dict[str, Query]:
         "knn_impute_orders": knn_impute_orders,
         "knn_impute_part": knn_impute_part,
         "knn_impute_lineitem": knn_impute_lineitem,
+        "knn_neighbours_hashed": knn_neighbours_hashed,
+        "knn_hashed_recall": knn_hashed_recall,
         "score_detail": score_detail,
+        "score_detail_sql": score_detail_sql,
+        "report_store": report_store,
         "detail_sink": detail_sink,
         "knn_summary": knn_summary,
         "knn_summary_exact": knn_summary_exact,
@@ -388,6 +493,10 @@ def all_queries() -> dict[str, Query]:
         "dt_stump": dt_stump,
         "dt_impute_stump": dt_impute_stump,
         "rf_impute_stump": rf_impute_stump,
+        "dt_impute_encoder": dt_impute_encoder,
+        "dt_impute_nodes": dt_impute_nodes,
+        "rf_impute_nodes": rf_impute_nodes,
+        "mlp_impute_weights": mlp_impute_weights,
         "dt_summary_stump": dt_summary_stump,
         "scored_embeddings_dt": _scored_embeddings("tree"),
         "scored_embeddings_rf": _scored_embeddings("forest"),

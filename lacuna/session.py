@@ -2,11 +2,15 @@
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _CHECKPOINT_KEY = "spark.checkpoint.dir"
 _own_folders: dict[str, str] = {}
+#: Paths written inside each open ``scratch``, the innermost last.
+_open_scratches: list[list[str]] = []
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkSession:
@@ -41,7 +45,28 @@ def shared_folder(spark: SparkSession) -> str:
 
 def written_path(spark: SparkSession, name: str) -> str:
     """A new, unused path in the shared folder."""
-    return f"{shared_folder(spark).rstrip('/')}/lacuna/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark).rstrip('/')}/lacuna/{name}-{uuid.uuid4().hex}"
+    if _open_scratches:
+        _open_scratches[-1].append(path)
+    return path
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Removes the tables that are written inside it when it ends.
+
+    Results that are still read from those tables have to be saved or collected
+    inside. Only paths handed out by ``written_path`` are touched.
+    """
+    paths: list[str] = []
+    _open_scratches.append(paths)
+    try:
+        yield
+    finally:
+        _open_scratches.remove(paths)
+        for path in paths:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def write_and_reread(df: DataFrame, name: str) -> DataFrame:

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lacuna.operators import blocks as block_module
-from lacuna.operators import distance_to_row, knn_impute, nearest, votes
+from lacuna.operators import distance_to_row, knn_impute, nearest, nearest_by_step, votes
 
 
 def frame(spark, rows, labels):
@@ -201,3 +201,63 @@ def test_plan_has_no_all_pairs_join(spark):
     plan = knn_impute(df, "e", "t", 5, rows_per_block=16)._jdf.queryExecution().toString()
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan and "Join Cross" not in plan
     assert "WindowGroupLimit" in plan
+
+
+def clustered(rng, clusters, rows, width, spread=0.15):
+    centres = rng.normal(size=(clusters, width))
+    return centres[rng.integers(clusters, size=rows)] + spread * rng.normal(size=(rows, width))
+
+
+@pytest.mark.parametrize("rows_per_block", [32, 512])
+def test_wide_features(spark, rows_per_block):
+    rng = np.random.default_rng(30)
+    rows = clustered(rng, 12, 900, 24)
+    rows[:200] = rows[0]
+    rows[200] *= 1e5
+    check(spark, rows, labelled(rng, 900, 0.25), 7, rows_per_block)
+
+
+def test_wide_rows_that_walk_by_themselves(spark, monkeypatch):
+    monkeypatch.setattr(block_module, "BRANCHES", 1)
+    monkeypatch.setattr(block_module, "CENTRES", 9)
+    rng = np.random.default_rng(31)
+    check(spark, clustered(rng, 5, 500, 20, 0.5), labelled(rng, 500, 0.2), 4, 16)
+
+
+def test_clustered_wide_rows_compare_few_blocks(spark):
+    """Pivots part clusters that boxes over 64 features can't."""
+    rng = np.random.default_rng(32)
+    points = clustered(rng, 40, 8000, 64, 0.1)
+    df = frame(spark, points, labelled(rng, 8000, 0.1)).withColumnRenamed("t", "value").withColumnRenamed("e", "features")
+    made = block_module.make_blocks(df, df.where("value IS NOT NULL"), 10, 64, 64)
+    pairs = block_module.candidate_pairs(made, 10, 64).count()
+    sides = made.table.agg(F.count_if(F.col("m") > 0), F.count_if(F.col("c") > 0)).first()
+    assert pairs < 0.15 * sides[0] * sides[1]
+
+
+@pytest.mark.parametrize("rows_per_block", [8, 256])
+@pytest.mark.parametrize("width", [2, 18])
+def test_several_steps_in_one_search(spark, rows_per_block, width):
+    rng = np.random.default_rng(33)
+    rows = rng.integers(0, 5, size=(500, 2)) if width == 2 else clustered(rng, 4, 500, width)
+    labels = labelled(rng, 500, 0.05)
+    steps = rng.integers(0, 6, 500)
+    ks = [2, 2, 5, 9]
+    data = [(i, [float(v) for v in row], None if label is None else str(label), int(step)) for i, (row, label, step) in enumerate(zip(rows, labels, steps))]
+    df = spark.createDataFrame(data, "line_id long, e array<double>, t string, s int").repartition(4)
+    got = {}
+    for r in nearest_by_step(df, "e", "t", "s", ks, rows_per_block=rows_per_block).orderBy("line_id", "rank").collect():
+        got.setdefault((r.step, r.line_id), []).append((r.neighbour_id, r.value, r.d2))
+    want = {}
+    for step, k in enumerate(ks):
+        left = [None if s <= step else label for label, s in zip(labels, steps)]
+        want |= {(step, i): n for i, n in brute(rows, left, k).items()}
+    assert got == want
+
+
+def test_steps_need_rising_ks(spark):
+    df = frame(spark, np.ones((4, 2)), ["a", None, "b", "a"]).withColumn("s", F.lit(0))
+    with pytest.raises(ValueError, match="ks"):
+        nearest_by_step(df, "e", "t", "s", [3, 2])
+    with pytest.raises(ValueError, match="missing in every"):
+        nearest_by_step(df, "e", "t", "s", [2, 3])

@@ -8,8 +8,6 @@ from check_queries import compare, duckdb_with_tables
 import __spark_entry__ as contract
 
 FOLDER = "/root/testdata/sf0.001"
-# Twenty imputations each: left to the full check.
-SLOW = {"compare_grid", "compare_grid_counts"}
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="needs the test tables")
 
@@ -19,7 +17,7 @@ def con():
     return duckdb_with_tables(FOLDER)
 
 
-@pytest.mark.parametrize("name", sorted(set(contract.queries()) - SLOW))
+@pytest.mark.parametrize("name", sorted(contract.queries()))
 def test_query_matches_sql(spark, con, name):
     ok, message = compare(spark, con, FOLDER, name)
     assert ok, message
