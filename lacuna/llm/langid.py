@@ -116,7 +116,9 @@ def _gradients(net: Network, codes: np.ndarray, labels: np.ndarray, present: np.
             d_rec[:, : 2 * hidden] += before.T @ d_read[:, : 2 * hidden]
             d_rec[:, 2 * hidden:] += (reset * before).T @ d_new
             d_b += d_read.sum(axis=0)
-            np.add.at(d_in, codes[:, t], d_read)
+            read = np.zeros((len(codes), 256), np.float32)
+            read[np.arange(len(codes)), codes[:, t]] = 1
+            d_in += read.T @ d_read
             d_state = (
                 d_state * update + d_read[:, : 2 * hidden] @ weights[:, : 2 * hidden].T
                 + reset * (d_new @ weights[:, 2 * hidden:].T)
