@@ -314,10 +314,40 @@ def test_other_parts_are_left_out():
     )
     assert pages.main_text(page) == f"Title\n\n{' '.join(long.split())} & <b>\n\nShort end."
     assert pages.main_text(None) == "" and pages.main_text("<nav>menu") == "" and pages.main_text("<p>x") == ""
-    assert pages.main_text("<article>tiny</article><p>" + long) == "tiny"
     assert pages.main_text("<nav>open <article><p>kept</p></article>") == "kept"
 
 
+STORY = "some words of the story that goes on, " * 12
+
+
+@pytest.mark.parametrize("page, want", [
+    ("<div>" + "<p>STORY</p>" * 3 + "</div><div class='comments'><article class=comment><p>reader words " + "and more " * 20 + "</p></article></div>", 3),
+    ("<p>STORY</p><p>STORY</p><article class='comment'>I liked it very much, more please</article>", 2),
+    ("<aside><article>Teaser</article></aside><div><p>STORY<p>STORY</div>", 2),
+    ("<article>Teaser</article><ul><li><a href=x>a</a><li><a href=y>b</a><li><a href=z>c</a></ul><div><p>STORY</p><p>STORY</p></div>", 2),
+    ("<p class='ad'>Buy<p>STORY<p>STORY", 2),
+    ("<ul class=menu><li>one<li>two</ul><article class='post comments-open'><p>STORY</p></article>", 1),
+    ("<body class='has-sidebar'><div class='no-sidebar'><p>STORY</p></div></body>", 1),
+    ("<title>Not this</title><p title=it's>STORY", 1),
+    ("<div><aside>More</div><p>STORY</p>", 1),
+    ("<p>STORY<!-- <p>no</p> --><script>if (a < b) '</p>'</script></p>", 1),
+])
+def test_misleading_pages(page, want):
+    story = " ".join(STORY.split())
+    assert pages.main_text(page.replace("STORY", STORY)) == "\n\n".join([story] * want)
+
+
+def test_captions_stay_and_broken_markup_is_fast():
+    import time
+
+    page = f"<article><p>{STORY}</p><figure><img src=x><figcaption>A view</figcaption></figure><p>{STORY}</p></article>"
+    assert "\n\nA view\n\n" in pages.main_text(page)
+    for broken in ("<a title=\"x ", "<a title='", "<p class=", "<b>", "<div><p>", "<!-- ", "<script>", "< ", "<li>", "</b>", "<td><b>"):
+        start = time.perf_counter()
+        pages.main_text(broken * (1_000_000 // len(broken)))
+        assert time.perf_counter() - start < 5, broken
+
+
 def test_pages_with_nulls_and_nothing(spark):
     rows = spark.createDataFrame([(1, None, None), (1, "u", ""), (None, "u", "<article>é</article>")], "page_id long, url string, html string")
     assert sorted(r.n_chars for r in pages.extract_text(rows).collect()) == [0, 0, 1]
@@ -334,7 +364,7 @@ def test_links_match_brute_force(spark, monkeypatch):
     vectors = np.concatenate([*vectors, np.repeat(centres[:1], 50, axis=0)]).astype(np.float32)
     rows = [(i, v.tolist()) for i, v in enumerate(vectors)] + [
         (5000, None), (5001, []), (5002, [0.0] * 24), (5003, [1.0, None]), (5004, [float("nan")] * 24), (5005, [float("inf")] * 24), (None, [1.0] * 24),
-        (5006, [1.0, 2.0]), (5007, [2.0, 4.0]),
+        (5006, [1.0, 2.0]), (5007, [2.0, 4.0]), (6000, [1.0, 0.0, 0.0]), (6000, [0.0, 1.0, 0.0]), (6001, [0.0, 1.0, 0.01]), (None, [0.0, 0.0, 1.0]), (6002, [0.0, 0.01, 1.0]),
     ]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     unit = projection_forest.unit_rows(vectors)
@@ -342,8 +372,13 @@ def test_links_match_brute_force(spark, monkeypatch):
     np.fill_diagonal(linked, False)
     for tile in (1024, 40):
         monkeypatch.setattr(projection_forest, "TILE", tile)
-        got = {r.vec_id: r for r in projection_forest.vector_links(frame, leaf=60).collect()}
-        assert len(got) == len(rows)
+        found = projection_forest.vector_links(frame, leaf=60).collect()
+        got = {r.vec_id: r for r in found}
+        assert len(found) == len(rows)
+        # Unlike vectors of one id have their own links, and a vector without id links too.
+        assert sorted((r.n_links, r.component_id) for r in found if r.vec_id == 6000) == [(0, 6000), (1, 6000)]
+        assert got[6001].component_id == 6000 and (got[6002].n_links, got[6002].component_id) == (1, 6002)
+        assert sorted((r.n_links, r.component_id) for r in found if r.vec_id is None) == [(0, None), (1, 6002)]
         found = sum(got[i].n_links for i in range(len(vectors)))
         assert all(got[i].n_links <= linked[i].sum() for i in range(len(vectors)))
         assert found >= 0.99 * linked.sum()
