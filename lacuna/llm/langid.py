@@ -35,7 +35,7 @@ BLOCK = 4096
 
 UNKNOWN = "und"
 #: Where between chance (one language in so many) and certainty the score of a text in a learned language must lie at least.
-LEAST_CERTAINTY = 0.3
+LEAST_CERTAINTY = 0.2
 
 
 @dataclass

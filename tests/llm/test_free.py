@@ -241,9 +241,8 @@ def test_held_out_accuracy_and_whole_texts(spark, folder):
     assert sum(r.lang == r.lang_pred for r in got) > 0.97 * len(got)
     # A text in letters that were never learned comes close to chance.
     strange = spark.createDataFrame([(2, "Ελληνικά γράμματα " * 20)], "doc_id long, text string")
-    assert langid.identify(strange, net, ["doc_id"]).first().score < langid.least_score(net)
-    assert sum(r.score < langid.least_score(net) for r in got) <= 0.01 * len(got)
-    assert langid.least_score(net) == pytest.approx(0.475) and langid.least_score(None) == 0
+    assert langid.identify(strange, net, ["doc_id"]).first().score < min(r.score for r in got)
+    assert min(r.score for r in got) >= langid.least_score(net) == pytest.approx(0.4) and langid.least_score(None) == 0
     # The end of a long text counts as much as its start.
     german = " ".join(r.text for r in docs.where("lang = 'de'").limit(4).collect())
     english = " ".join(r.text for r in docs.where("lang = 'en'").limit(4).collect())[: len(german) // 3]
