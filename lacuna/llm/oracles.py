@@ -1,6 +1,6 @@
 """The dealt operators as DuckDB SQL, where SQL can express them."""
 
-from .licenses import CONTAINMENT, PHRASES, TEMPLATES
+from .licenses import APART, CONTAINMENT, PHRASES, SPAN, TEMPLATES
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -31,22 +31,35 @@ FROM dw LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
 
+def _listed(words) -> str:
+    return "[" + ", ".join(f"'{w}'" for w in words) + "]::VARCHAR[]"
+
+
 def _license_scan() -> str:
-    """Every line against every template, and every place against every phrase."""
+    """Every run of every text against every template, and every place against every phrase."""
+    rows = [(label, text, *APART.get(label, ([], []))) for label, texts in sorted(TEMPLATES.items()) for text in texts]
     templates = ", ".join(
-        f"({i}, '{label}', '{text}')"
-        for i, (label, text) in enumerate((label, text) for label, texts in sorted(TEMPLATES.items()) for text in texts)
+        f"({i}, '{label}', '{text}', [{', '.join(map(_listed, needed))}]::VARCHAR[][], {_listed(never)})"
+        for i, (label, text, needed, never) in enumerate(rows)
     )
     phrases = ", ".join(f"('{phrase}', '{label}')" for phrase, label in PHRASES.items())
     return rf"""
 WITH dw AS (SELECT doc_id, regexp_extract_all({LOWERED}, '{WORD}') AS w FROM documents),
 phrases AS (SELECT string_split(phrase, ' ') AS p, label FROM (VALUES {phrases}) AS v(phrase, label)),
-templates AS (SELECT id, label, list_distinct(regexp_extract_all(text, '{WORD}')) AS t FROM (VALUES {templates}) AS v(id, label, text)),
-lines AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS text FROM documents),
-blocks AS (SELECT doc_id, list_distinct(regexp_extract_all({LOWERED}, '{WORD}')) AS b FROM lines),
+templates AS (
+    SELECT id, label, list_distinct(regexp_extract_all(text, '{WORD}')) AS t,
+        floor(len(regexp_extract_all(text, '{WORD}')) * {SPAN})::BIGINT AS span, needed, never
+    FROM (VALUES {templates}) AS v(id, label, text, needed, never)
+),
+held AS (SELECT doc_id, w, label, t, span, needed, never FROM dw, templates WHERE len(list_intersect(w, t)) >= {CONTAINMENT} * len(t) - 1e-9),
+runs AS (
+    SELECT doc_id, label, t, needed, never, w[k:k + span - 1] AS run
+    FROM (SELECT *, unnest(list_filter(range(1, len(w) + 1), lambda i: list_contains(t, w[i]))) AS k FROM held)
+),
 met AS (
-    SELECT doc_id, label, len(list_intersect(b, t)) / len(t) AS share FROM blocks, templates
-    WHERE len(list_intersect(b, t)) >= ceil(len(t) * {CONTAINMENT} - 1e-9)
+    SELECT doc_id, label, len(list_intersect(run, t)) / len(t) AS share FROM runs
+    WHERE len(list_intersect(run, t)) >= {CONTAINMENT} * len(t) - 1e-9 AND NOT list_has_any(run, never)
+        AND len(list_filter(needed, lambda ways: list_has_any(run, ways))) = len(needed)
 ),
 base AS (
     SELECT doc_id, i - 1 AS place, label

@@ -12,7 +12,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 from check_queries import duckdb_with_tables, rows_of  # noqa: E402
 
 from lacuna.llm.decontaminate import contamination, decontaminate  # noqa: E402
-from lacuna.llm.licenses import containment_join, scan_licenses  # noqa: E402
+from lacuna.llm.licenses import containment_join, scan_licenses, template_rows  # noqa: E402
 from lacuna.llm.mixing import fit_rates, mix, mixture  # noqa: E402
 from lacuna.llm.oracles import oracles  # noqa: E402
 from lacuna.llm.queries import queries  # noqa: E402
@@ -147,10 +147,55 @@ def test_license_labels(spark, odd_documents):
     assert (got[2].n_base, got[2].first_word, got[2].base_labels) == (0, None, "") and "cc-by-nc" in got[2].labels
     assert (got[3].n_words, got[3].labels, got[3].score) == (0, "", 0.0)
     assert got[4].n_base == 1 and got[5].n_base == 0
+    assert got[2].labels == "cc-by-nc" and got[2].score == 1.0
     assert scan_licenses(docs).count() == 6 and scan_licenses(odd_documents).count() == odd_documents.count()
     assert scan_licenses(docs.where("false")).count() == 0
 
 
+def test_wrapped_and_sibling_notices(spark):
+    texts = {
+        "bsd": "x y\nRedistribution and use in source and binary forms, with or without\n * modification, are permitted provided that",
+        "cc-by-sa": "Licensed under CC BY-SA 4.0", "cc-by": "Licensed\nunder CC-BY 4.0.", "cc-by-nc-sa": "Licensed under CC BY-NC-SA 4.0",
+        "gpl": "Licensed under the GNU General Public License version 3",
+        "gpl,lgpl": "Licensed under the GNU Lesser General Public License version 3",
+        "agpl,gpl": "Licensed under the GNU Affero General Public\nLicense, version 3",
+        "rights-reserved": "All\n\nrights reserved",
+        "": "the rights of all are reserved in this long story",
+        "mit": "Permission is hereby granted, free of charge, to any person\nobtaining a copy of this software and associated\ndocumentation files",
+        # Two notices of one family, far apart and over the ends of blocks.
+        "cc-by,cc-by-sa": "w " * 124 + "licensed under cc by 4.0 " + "w " * 300 + "licensed under cc by sa 4.0 " + "w " * 9,
+    }
+    docs = spark.createDataFrame(list(enumerate(texts.values())), "doc_id long, text string")
+    got = {r.doc_id: r for r in scan_licenses(docs).collect()}
+    assert {i: r.labels for i, r in got.items()} == dict(enumerate(texts))
+    assert all(got[i].score == 1.0 for i, label in enumerate(texts) if label)
+
+
+def test_runs_against_all_places(spark):
+    import random
+
+    chance = random.Random(6)
+    letters = "abcdefghijkl"
+    named = {f"t{i}": [" ".join(chance.choice(letters) for _ in range(chance.randrange(1, 7)))] for i in range(10)}
+    apart = {"t1": ([["a", "b"], ["c"]], []), "t2": ([], ["d"]), "t3": ([["e"]], ["f"])}
+    templates = template_rows(spark, named, apart)
+    texts = [" ".join(chance.choice(letters + "xyz") for _ in range(chance.randrange(0, 400))) for _ in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for threshold in (0.6, 0.8, 1.0):
+        got = {r.doc_id: (r.labels, r.score) for r in scan_licenses(docs, templates, threshold).collect()}
+        for i, text in enumerate(texts):
+            words, shares = text.split(), {}
+            for label, (notice,) in named.items():
+                own, span = set(notice.split()), len(notice.split()) * 5 // 4
+                needed, never = apart.get(label, ([], []))
+                for k, first in enumerate(words):
+                    run = set(words[k:k + span])
+                    share = len(run & own) / len(own)
+                    if first in own and share >= threshold - 1e-9 and all(run & set(some) for some in needed) and not run & set(never):
+                        shares[label] = max(share, shares.get(label, 0))
+            assert got[i] == (",".join(sorted(shares)), max(shares.values(), default=0.0))
+
+
 # --- mixing ------------------------------------------------------------------
 
 
