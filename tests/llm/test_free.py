@@ -80,9 +80,9 @@ def test_repeated_passages_are_found_and_clean_texts_left(spark, odd_documents):
     assert {r.doc_id for r in got} == set(range(30))
     texts = dict(rows)
     for r in got:
-        # A chunk may run on into bytes after the passage that a few documents share by chance.
+        # The whole passage, and bytes at either end that two documents share by chance.
         shared = texts[r.doc_id].encode()[r.start:r.end].decode()
-        assert shared[:-16] in passage and sum(shared in t for t in texts.values()) > 1 and r.n_docs_most == 30
+        assert f" {passage} " in shared and len(shared) <= len(passage) + 2 + 2 * 16 and r.n_docs_most == 30
         assert r.duplicate == (r.first_doc_id < r.doc_id)
     assert sum(r.first_doc_id == 0 for r in got) >= 20
     ends = substrings.chunk_ends(*text_bytes(pa.array([texts[i] for i in range(80)])))
@@ -93,6 +93,24 @@ def test_repeated_passages_are_found_and_clean_texts_left(spark, odd_documents):
     assert substrings.repeated_spans(odd_documents.where("false")).count() == 0
 
 
+def test_ends_of_spans_against_brute_force(spark):
+    """Two holders of each passage, so the holder compared with is the only one."""
+    chance = random.Random(21)
+    rows, passages = [], []
+    for i in range(40):
+        passage = prose(chance, chance.choice([45, 60, 120])) + chance.choice(["", "ü" * 3])
+        passages.append(passage)
+        for side in ("AC", "BD"):
+            # Unlike bytes stand next to the passage.
+            rows.append((len(rows), prose(chance, 70) + side[0] + passage + side[1] + prose(chance, 70)))
+    got = {r.doc_id: r for r in substrings.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert set(got) == set(range(80))
+    for doc_id, text in rows:
+        r = got[doc_id]
+        assert text.encode()[r.start:r.end] == passages[doc_id // 2].encode()
+        assert (r.duplicate, r.first_doc_id) == (doc_id % 2 == 1, doc_id // 2 * 2)
+
+
 def test_spans_of_copies_that_hold_earlier_passages(spark):
     chance = random.Random(12)
     passage = prose(chance, 90)
