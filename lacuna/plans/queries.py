@@ -106,6 +106,8 @@ def row_id(spark, folder):
 
 def row_id_generated(spark, folder):
     rows = with_row_id(_table(spark, folder, "lineitem").select("l_returnflag"))
+    # Ids hardly repeat, so a count before the shuffle would only hold all ids of a split in memory.
+    rows = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "line_id")
     return rows.agg(F.count("*").alias("n"), F.countDistinct("line_id").alias("ids"))
 
 

@@ -43,5 +43,6 @@ def with_row_id(df: DataFrame, key: str | None = None, name: str = "line_id") ->
     # One row per file, numbered by path; no data column is read for it.
     files = df.select(F.col("_metadata.file_path").alias("_path")).distinct()
     numbered = files.select("_path", (F.row_number().over(Window.orderBy("_path")) - 1).cast("bigint").alias("_place"))
-    joined = placed.join(numbered, F.col("_file") == F.col("_path"))
+    # Broadcast, as a join by path would send all rows of a file to one task.
+    joined = placed.join(F.broadcast(numbered), F.col("_file") == F.col("_path"))
     return joined.select(*[F.col(f"`{c}`") for c in df.columns], (F.shiftleft("_place", ROW_BITS) + F.col("_row")).alias(name))

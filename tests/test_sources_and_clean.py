@@ -25,6 +25,23 @@ def test_generated_ids_stay_the_same_and_natural_keys_are_used(spark):
     assert with_row_id(spark.range(5), "id").where("line_id = id").count() == 5
 
 
+def test_generated_ids_leave_the_rows_of_a_file_where_they_are_read(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.range(20_000).coalesce(1).write.option("parquet.block.size", 16 << 10).option("parquet.page.size", 4 << 10).parquet(path)
+    settings = {"spark.sql.files.maxPartitionBytes": "16k", "spark.sql.files.openCostInBytes": "0", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {key: spark.conf.get(key) for key in settings}
+    try:
+        for key, value in settings.items():
+            spark.conf.set(key, value)
+        rows = with_row_id(spark.read.parquet(path))
+        # By a join on the path all rows of the file came to one task.
+        assert rows.groupBy(F.spark_partition_id()).count().count() > 1
+        assert rows.select("line_id").distinct().count() == 20_000
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+
+
 def test_projection_casts_and_text(spark):
     df = spark.createDataFrame([(1, "2.5", "7", "x", "drop")], "line_id long, a string, b string, t string, z string")
     kept = project_attributes(df, ["a", "b", "t"])
