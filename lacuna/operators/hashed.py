@@ -7,13 +7,18 @@ table. A missing row is compared with the known rows of its buckets only; the
 distances are the true ones. What no table brings together is missed, which is
 what makes the search approximate: its recall has to be measured.
 
+Where one feature outweighs the others, all projections nearly agree and some
+buckets are strips of many more rows than wanted. In those each run of missing
+rows meets only the known rows that are near enough along the widest feature,
+which finds the same neighbours as comparing all.
+
 The cost is that of one bucket per table and row, so it grows in proportion to
 the rows however many features there are, where the exact search of many
 independent features is quadratic.
 """
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +27,7 @@ from pyspark.sql import functions as F
 
 from lacuna.session import write_and_reread
 
+from .blocks import _nearest_columns, _with_end
 from .clean import feature_array, feature_width
 from .neighbours import _first, _lowest_ids_per_place, majority, nearest
 
@@ -29,7 +35,16 @@ TABLES, PROJECTIONS = 10, 2
 #: Known rows that a bucket should hold, and the most cells that a projection is cut into.
 BUCKET_ROWS, CELLS = 512, 512
 #: Rows of either side that are compared in one task at once; fuller buckets are cut into tiles.
-TILE = 2048
+TILE = 8192
+#: Known rows up to which a bucket is compared as a whole; beyond, in runs of so many asked rows along one feature,
+#: each with at least so many known rows on either side.
+SMALL, RUN, REACH = 512, 64, 64
+#: Distances that are held at once in a small bucket, and rows that a task reads before it compares them.
+CELLS_AT_ONCE, ROWS_AT_ONCE = 1 << 19, 1 << 16
+#: Buckets up to which their sizes are broadcast.
+MOST_BROADCAST = 1 << 22
+#: Rows that a partition of the buckets should hold at most.
+PARTITION_ROWS = 1 << 19
 
 
 def _projector(directions: np.ndarray):
@@ -66,28 +81,106 @@ def _lists(values: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * size), pa.array(np.ascontiguousarray(values).ravel()))
 
 
+def _picked(d2: np.ndarray, k: int) -> np.ndarray:
+    """Marks the k least per row; columns are in id order, so of equal distances the lowest ids come first."""
+    if d2.shape[1] <= k:
+        return np.ones(d2.shape, bool)
+    inside = d2 <= np.partition(d2, k - 1, axis=1)[:, k - 1][:, None]
+    tied = np.flatnonzero(inside.sum(axis=1) > k)
+    inside[tied] = _nearest_columns(inside[tied], d2[tied], k)
+    return inside
+
+
+def _distances(asked: np.ndarray, known: np.ndarray) -> np.ndarray:
+    d2 = np.zeros((len(asked), len(known)))
+    for f in range(asked.shape[1]):
+        apart = np.subtract.outer(asked[:, f], known[:, f])
+        apart *= apart
+        d2 += apart
+    return d2
+
+
+def _nearest_in_bucket(asked: np.ndarray, known: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Rows of ``asked``, rows of ``known`` and squared distances of the up to k nearest; ``known`` is in id order.
+
+    Runs of asked rows along the widest feature meet the known rows around them
+    first. No row farther along that feature than the k-th distance found there
+    can be nearer, so a fuller bucket costs each run only the rows within it.
+    """
+    if len(known) <= SMALL:
+        run, lead = max(1, CELLS_AT_ONCE // len(known)), None
+    else:
+        run, lead = RUN, int(np.argmax(known.max(axis=0) - known.min(axis=0)))
+        by_place = np.argsort(known[:, lead], kind="stable")
+        places = known[by_place, lead]
+    order = np.arange(len(asked)) if lead is None else np.argsort(asked[:, lead], kind="stable")
+    for start in range(0, len(asked), run):
+        mine = order[start:start + run]
+        rows = asked[mine]
+        columns = np.arange(len(known))
+        if lead is None:
+            d2 = _distances(rows, known)
+        else:
+            first, last = rows[0, lead], rows[-1, lead]
+            a = max(0, int(np.searchsorted(places, first)) - REACH - k)
+            b = min(len(known), int(np.searchsorted(places, last)) + REACH + k)
+            columns = np.sort(by_place[a:b])
+            d2 = _distances(rows, known[columns])
+            if b - a < k:
+                reach = np.inf
+            else:
+                # Taken as wider by more than a rounding, so that no row as near is left out.
+                reach = np.sqrt(np.partition(d2, k - 1, axis=1)[:, k - 1].max()) * (1 + 1e-12) + 1e-150
+            to_a = min(a, int(np.searchsorted(places, np.nextafter(first - reach, -np.inf), side="left")))
+            to_b = max(b, int(np.searchsorted(places, np.nextafter(last + reach, np.inf), side="right")))
+            if (to_a, to_b) != (a, b):
+                columns = np.sort(by_place[to_a:to_b])
+                d2 = _distances(rows, known[columns])
+        inside = _picked(d2, k)
+        row, col = np.nonzero(inside)
+        yield mine[row], columns[col], d2[inside]
+
+
 def _compared(k: int, width: int):
-    """Function for ``applyInArrow``: up to k nearest known rows of a bucket's tile per missing row."""
-
-    def compare(group: pa.Table) -> pa.Table:
-        known = group.column("value").combine_chunks().is_valid().to_numpy(zero_copy_only=False)
-        ids = group.column("line_id").to_numpy()
-        rows = group.column("features").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
-        there, asked = np.flatnonzero(known), np.flatnonzero(~known)
-        there = there[np.argsort(ids[there], kind="stable")]
-        d2 = np.zeros((len(asked), len(there)))
-        for f in range(width):
-            apart = np.subtract.outer(rows[asked, f], rows[there, f])
-            apart *= apart
-            d2 += apart
-        # Columns are in id order, so of equal distances the lowest ids come first.
-        best = np.argsort(d2, axis=1, kind="stable")[:, :k]
-        row = np.repeat(np.arange(len(asked)), best.shape[1])
-        col = best.ravel()
-        return pa.table({
-            "line_id": ids[asked[row]], "neighbour_id": ids[there[col]],
-            "value": group.column("value").combine_chunks().take(pa.array(there[col])), "d2": d2[row, col],
-        })
+    """Function for ``mapInArrow``: sorted rows in, up to k nearest known rows of a bucket's tile per missing row out."""
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting = None
+        for batch in _with_end(batches):
+            if batch is not None:
+                table = pa.Table.from_batches([batch])
+                waiting = table if waiting is None else pa.concat_tables([waiting, table])
+                if waiting.num_rows < ROWS_AT_ONCE:
+                    continue
+            if waiting is None or not waiting.num_rows:
+                continue
+            bucket = waiting["bucket"].to_numpy()
+            # The last bucket may go on in the next batch: keep its rows back.
+            done = len(bucket) if batch is None else int(np.searchsorted(bucket, bucket[-1]))
+            if not done:
+                continue
+            whole, waiting = waiting.slice(0, done).combine_chunks(), waiting.slice(done)
+            bucket, tile = bucket[:done], whole["tile"].to_numpy()
+            if tile.any():
+                order = np.lexsort((tile, bucket))
+                whole, bucket, tile = whole.take(pa.array(order)).combine_chunks(), bucket[order], tile[order]
+            cuts = np.flatnonzero((bucket[1:] != bucket[:-1]) | (tile[1:] != tile[:-1])) + 1
+            values = whole["value"].combine_chunks()
+            is_known, ids = values.is_valid().to_numpy(zero_copy_only=False), whole["line_id"].to_numpy()
+            rows = whole["features"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+            out = []
+            for start, end in zip([0, *cuts], [*cuts, done]):
+                there, asked = np.flatnonzero(is_known[start:end]) + start, np.flatnonzero(~is_known[start:end]) + start
+                if not len(there) or not len(asked):
+                    continue
+                there = there[np.argsort(ids[there], kind="stable")]
+                out += [(asked[row], there[col], d2) for row, col, d2 in _nearest_in_bucket(rows[asked], rows[there], k)]
+            if out:
+                row, col, d2 = (np.concatenate(part) for part in zip(*out))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(ids[row]), pa.array(ids[col]), values.take(pa.array(col)), pa.array(d2)],
+                    names=["line_id", "neighbour_id", "value", "d2"],
+                )
 
     return compare
 
@@ -115,27 +208,33 @@ def nearest_hashed(
     directions = np.random.default_rng(seed).standard_normal((tables * projections, width))
     shares = [i / cells for i in range(1, cells)]
     # As many numbers as there are cells reach the driver.
-    quantiles = (
-        known.select(F.posexplode(_projector(directions)("features")).alias("place", "v"))
-        .groupBy("place").agg(F.percentile_approx("v", shares, 1000).alias("cuts")).orderBy("place").collect()
-    )
-    bucket = F.explode(_bucketer(directions, [np.array(r["cuts"]) for r in quantiles], tables)("features")).alias("bucket")
-    both = known.unionByName(asking).select("line_id", "value", "features", bucket)
+    places = known.select(_projector(directions)("features").alias("p"))
+    quantiles = places.agg(*[F.percentile_approx(F.col("p")[i], shares, 1000).alias(f"cuts_{i}") for i in range(len(directions))]).first()
+    bucketer = _bucketer(directions, [np.array(cuts) for cuts in quantiles], tables)
+    both = known.unionByName(asking).select("line_id", "value", "features", bucketer("features").alias("buckets"))
     both = write_and_reread(both, "hashed")
     # Only buckets with rows of either side matter. Fuller ones are cut into tiles, of which every two meet.
-    sizes = both.groupBy(F.col("bucket").alias("_bucket")).agg(F.count("value").alias("n"), F.count_if(F.col("value").isNull()).alias("m"))
+    sizes = both.select("value", F.explode("buckets").alias("_bucket")).groupBy("_bucket").agg(F.count("value").alias("n"), F.count_if(F.col("value").isNull()).alias("m"))
     sizes = sizes.where("n > 0 AND m > 0").select("_bucket", F.ceil(F.col("n") / TILE).alias("n_tiles"), F.ceil(F.col("m") / TILE).alias("m_tiles"))
-    placed = both.join(sizes, F.col("bucket") == F.col("_bucket"))
+    if tables * cells**projections <= MOST_BROADCAST:
+        sizes = F.broadcast(sizes)
+    placed = both.withColumn("bucket", F.explode("buckets")).drop("buckets").join(sizes, F.col("bucket") == F.col("_bucket"))
     is_known, mark = F.col("value").isNotNull(), F.xxhash64("line_id")
-    own_n, own_m = F.pmod(mark, F.col("n_tiles")), F.pmod(mark, F.col("m_tiles"))
-    all_n, all_m = F.sequence(F.lit(0), F.col("n_tiles") - 1), F.sequence(F.lit(0), F.col("m_tiles") - 1)
-    spread = placed.withColumn("i", F.explode(F.when(is_known, F.array(own_n)).otherwise(all_n)))
-    spread = spread.withColumn("j", F.explode(F.when(is_known, all_m).otherwise(F.array(own_m))))
-    found = spread.select("bucket", "i", "j", "line_id", "value", "features").groupBy("bucket", "i", "j").applyInArrow(
+    own_n, own_m, every = F.pmod(mark, F.col("n_tiles")), F.pmod(mark, F.col("m_tiles")), F.col("m_tiles")
+    # A known row meets all parts of the missing side, a missing row all parts of the known one.
+    meets = F.when(is_known, F.sequence(own_n * every, own_n * every + every - 1)).otherwise(
+        F.sequence(own_m, own_m + (F.col("n_tiles") - 1) * every, every)
+    )
+    spread = placed.withColumn("tile", F.explode(meets))
+    # Much work in few bytes: partitions by rows, as those by bytes would leave cores idle.
+    parts = max(2 * df.sparkSession.sparkContext.defaultParallelism, math.ceil(both.count() * tables / PARTITION_ROWS))
+    dealt = spread.select("bucket", "tile", "line_id", "value", "features").repartition(parts, "bucket", "tile")
+    # Spark sorts fastest by one number; the few buckets of several tiles are parted in the task.
+    found = dealt.sortWithinPartitions("bucket").mapInArrow(
         _compared(k, width), "line_id bigint, neighbour_id bigint, value string, d2 double"
     )
-    # Tables find the same neighbours; what they say of them is equal.
-    once = found.groupBy("line_id", "neighbour_id").agg(F.first("value").alias("value"), F.first("d2").alias("d2"))
+    # Tables find the same neighbours; what they say of them is equal. One shuffle serves this and the ranking.
+    once = found.repartition("line_id").groupBy("line_id", "neighbour_id").agg(F.first("value").alias("value"), F.first("d2").alias("d2"))
     ranked = write_and_reread(_first(once, ["line_id"], ["d2", "neighbour_id"], k), "ranked")
     full = ranked.where(F.col("rank") == min(k, n)).select(F.col("line_id").alias("_line"))
     short = write_and_reread(asking.select("line_id").join(full, F.col("line_id") == F.col("_line"), "left_anti"), "short")

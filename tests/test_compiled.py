@@ -4,6 +4,7 @@ import os
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.ml.classification import DecisionTreeClassifier, MultilayerPerceptronClassifier, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector
@@ -14,6 +15,7 @@ from lacuna.operators import (
     forest_impute, knn_impute_hashed, nearest, nearest_hashed, node_table, perceptron_class, plan_training, tree_class, tree_impute,
     walk_nodes, weight_table,
 )
+from lacuna.operators import hashed
 from lacuna.plans import HEADACHE, compare_grid, run_experiment
 from lacuna.session import scratch, shared_folder, written_path
 from lacuna.sources import with_row_id
@@ -188,3 +190,56 @@ def test_store_replaces_one_cell_and_scratch_is_removed(spark, points, tmp_path)
         pass
     spark.range(1).write.parquet(outside)
     assert os.path.isdir(outside)
+
+
+def _brute(asked, known, k):
+    d2 = np.zeros((len(asked), len(known)))
+    for f in range(asked.shape[1]):
+        d2 += np.subtract.outer(asked[:, f], known[:, f]) ** 2
+    best = np.argsort(d2, axis=1, kind="stable")[:, :k]
+    return {(i, int(j), d2[i, j]) for i in range(len(asked)) for j in best[i]}
+
+
+def test_full_buckets_are_searched_along_their_widest_feature(monkeypatch):
+    made = np.random.default_rng(3)
+    # A strip, as a bucket is where one feature outweighs the others; rounded, so that distances tie.
+    known = np.column_stack([made.integers(0, 40, 8000), made.integers(0, 200_000, 8000), made.integers(0, 3, 8000)]).astype(float)
+    asked = np.column_stack([made.integers(0, 40, 1000), made.integers(-50_000, 250_000, 1000), made.integers(0, 3, 1000)]).astype(float)
+    known[:300], asked[:40] = known[0], known[0]
+    compared, distances = [], hashed._distances
+    monkeypatch.setattr(hashed, "_distances", lambda a, b: compared.append(len(a) * len(b)) or distances(a, b))
+    for k in (1, 10, 700):
+        compared.clear()
+        found = {(int(i), int(j), d) for part in hashed._nearest_in_bucket(asked, known, k) for i, j, d in zip(*part)}
+        assert found == _brute(asked, known, k)
+        # All pairs were compared before: 8 million.
+        assert k == 700 or sum(compared) < 0.25 * len(asked) * len(known)
+    few = known[:5]
+    assert {(int(i), int(j), d) for part in hashed._nearest_in_bucket(asked, few, 10) for i, j, d in zip(*part)} == _brute(asked, few, 10)
+
+
+def test_hashed_search_is_the_same_in_tiles(spark, monkeypatch):
+    made = np.random.default_rng(5)
+    rows = [(i, float(made.integers(0, 400)), float(made.integers(0, 9)), None if i % 9 == 0 else "ab"[i % 2]) for i in range(4000)]
+    df = spark.createDataFrame(rows, "line_id long, a double, b double, t string")
+
+    def found():
+        return sorted(tuple(r) for r in nearest_hashed(df, ["a", "b"], "t", 5, bucket_rows=200).collect())
+
+    whole = found()
+    assert len(whole) == 5 * 445
+    monkeypatch.setattr(hashed, "TILE", 64)
+    assert found() == whole
+
+
+def test_buckets_go_on_over_batches_and_tiles_are_told_apart(monkeypatch):
+    monkeypatch.setattr(hashed, "ROWS_AT_ONCE", 7)
+    rows = [(b, t, 100 * b + i, None if i % 4 == 0 else "x", [float(i * i % 23)]) for b in (-3, 1, 2, 9) for t, i in ((i % (b % 3 + 1), i) for i in range(20))]
+    columns = dict(zip(("bucket", "tile", "line_id", "value", "features"), map(list, zip(*rows))))
+    batches = pa.table(columns).to_batches(max_chunksize=3)
+    found = {tuple(r.values()) for out in hashed._compared(2, 1)(iter(batches)) for r in out.to_pylist()}
+    wanted = set()
+    for b, t, line, value, (x,) in rows:
+        near = sorted(((x - y) ** 2, other, v) for c, u, other, v, (y,) in rows if (c, u) == (b, t) and v is not None)
+        wanted |= {(line, other, v, d2) for d2, other, v in near[:2] if value is None}
+    assert found == wanted
