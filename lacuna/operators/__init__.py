@@ -5,7 +5,7 @@ from .clean import cast_features, feature_array, filter_numeric, project_attribu
 from .compiled import node_table, perceptron_class, tree_class, walk_nodes, weight_table
 from .hashed import knn_impute_hashed, nearest_hashed
 from .missing import erase, erase_exact, erased_rows, exactly_erased_rows, in_training_part, split
-from .neighbours import distance_to_row, knn_impute, majority, nearest, nearest_by_step, votes
+from .neighbours import distance_to_row, knn_impute, majority, nearest, nearest_by_step, places_of, votes
 from .score import score_codes, score_detail, summarize
 
 __all__ = [
@@ -29,6 +29,7 @@ __all__ = [
     "node_table",
     "perceptron_impute",
     "perceptron_class",
+    "places_of",
     "plan_training",
     "project_attributes",
     "score_codes",

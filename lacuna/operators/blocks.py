@@ -171,13 +171,20 @@ def _distances(rows: np.ndarray, centres: np.ndarray) -> np.ndarray:
 def _feature_quantiles(points: DataFrame, width: int) -> tuple[int, np.ndarray]:
     """Row count and about 129 quantiles per feature: all that the driver sees."""
     steps = [i / QUANTILE_STEPS for i in range(QUANTILE_STEPS + 1)]
+    edges = np.zeros((width, QUANTILE_STEPS + 1))
+    if width <= UNROLLED:
+        # One row per point: no rows are made of its features.
+        cuts = [F.percentile_approx(F.col("features")[i], steps, 1000).alias(f"edges_{i}") for i in range(width)]
+        rows, *found = points.agg(F.count("*"), *cuts).first()
+        if rows:
+            edges[:] = found
+        return rows, edges
     found = (
         points.select(F.posexplode("features").alias("feature", "v"))
         .groupBy("feature")
         .agg(F.count("*").alias("rows"), F.percentile_approx("v", steps, 1000).alias("edges"))
         .collect()
     )
-    edges = np.zeros((width, QUANTILE_STEPS + 1))
     for row in found:
         edges[row["feature"]] = row["edges"]
     return (found[0]["rows"] if found else 0), edges
@@ -392,7 +399,9 @@ def _write_spread(pairs: DataFrame, blocks: Blocks) -> DataFrame:
 def _block_walk(asking: DataFrame, blocks: Blocks, k: int, width: int) -> DataFrame:
     """``(q_block, k_block)`` for the blocks that stay with few branches all the way."""
     frontier = asking.select(F.col("block").alias("q_block"), "q_lo", "q_hi", "qp_lo", "qp_hi", F.col("bound").alias("reach"))
-    frontier = frontier.withColumn("at", _first_nodes(blocks))
+    # Dealt out by number: by bytes, one task would get them all.
+    parts = 2 * asking.sparkSession.sparkContext.defaultParallelism
+    frontier = frontier.repartition(parts, "q_block").withColumn("at", _first_nodes(blocks))
     # No group outgrows BRANCHES * 2**FAN_BITS rows. With broadcast nodes the
     # rows stay partitioned by block, so all levels together shuffle once.
     branches = Window.partitionBy("q_block")

@@ -28,8 +28,7 @@ from pyspark.sql import functions as F
 from lacuna.session import write_and_reread
 
 from .blocks import _nearest_columns, _with_end
-from .clean import feature_array, feature_width
-from .neighbours import _first, _lowest_ids_per_place, majority, nearest
+from .neighbours import Places, majority, nearest, places_of
 
 TABLES, PROJECTIONS = 10, 2
 #: Known rows that a bucket should hold, and the most cells that a projection is cut into.
@@ -41,6 +40,8 @@ TILE = 8192
 SMALL, RUN, REACH = 512, 64, 64
 #: Distances that are held at once in a small bucket, and rows that a task reads before it compares them.
 CELLS_AT_ONCE, ROWS_AT_ONCE = 1 << 19, 1 << 16
+#: Lists of neighbours that a task merges, or hands on, at once.
+LISTS_AT_ONCE = 1 << 14
 #: Buckets up to which their sizes are broadcast.
 MOST_BROADCAST = 1 << 22
 #: Rows that a partition of the buckets should hold at most.
@@ -185,31 +186,88 @@ def _compared(k: int, width: int):
     return compare
 
 
+def _listed(k: int, width: int):
+    """As ``_compared``, with one row per missing row and bucket, which holds lists of its nearest."""
+    compare = _compared(k, width)
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for found in compare(batches):
+            line = found["line_id"].to_numpy()
+            starts = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]]))
+            ends = pa.array(np.append(starts, len(line)).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(ends, found[name]) for name in ("neighbour_id", "value", "d2")]
+            whole = pa.RecordBatch.from_arrays([pa.array(line[starts]), *lists], names=["line_id", "ids", "vals", "d2s"])
+            yield from (whole.slice(i, LISTS_AT_ONCE) for i in range(0, len(starts), LISTS_AT_ONCE))
+
+    return listed
+
+
+def _merged(k: int):
+    """Function for ``mapInArrow``: lists sorted by row in, the k nearest of each row with their rank out.
+
+    Tables find the same neighbours; what they say of them is equal, so each counts once.
+    """
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting, rows = [], 0
+        for batch in _with_end(batches):
+            if batch is not None:
+                waiting.append(batch)
+                rows += batch.num_rows
+                if rows < LISTS_AT_ONCE:
+                    continue
+            if not rows:
+                continue
+            whole = pa.Table.from_batches(waiting)
+            line = whole["line_id"].to_numpy()
+            # The last row may have more lists in the next batch: keep them back.
+            done = rows if batch is None else int(np.searchsorted(line, line[-1]))
+            waiting, rows = whole.slice(done).to_batches(), rows - done
+            if not done:
+                continue
+            whole = whole.slice(0, done).combine_chunks()
+            lists = {name: whole[name].combine_chunks() for name in ("ids", "vals", "d2s")}
+            line = np.repeat(line[:done], lists["ids"].value_lengths().to_numpy())
+            ids, d2 = lists["ids"].flatten().to_numpy(), lists["d2s"].flatten().to_numpy()
+            order = np.lexsort((d2, ids, line))
+            same = (line[order[1:]] == line[order[:-1]]) & (ids[order[1:]] == ids[order[:-1]])
+            order = order[np.concatenate([[True], ~same])]
+            order = order[np.lexsort((ids[order], d2[order], line[order]))]
+            starts = np.flatnonzero(np.concatenate([[True], line[order[1:]] != line[order[:-1]]]))
+            rank = np.arange(len(order)) - np.repeat(starts, np.diff(np.append(starts, len(order)))) + 1
+            order, rank = order[rank <= k], rank[rank <= k]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(line[order]), pa.array(ids[order]), lists["vals"].flatten().take(pa.array(order)), pa.array(d2[order]), pa.array(rank.astype(np.int32))],
+                names=["line_id", "neighbour_id", "value", "d2", "rank"],
+            )
+
+    return merge
+
+
 def nearest_hashed(
     df: DataFrame, features: Sequence[str] | str, target: str, k: int, row_id: str = "line_id",
     tables: int = TABLES, projections: int = PROJECTIONS, bucket_rows: int = BUCKET_ROWS, seed: int = 7,
+    places: Places | None = None,
 ) -> DataFrame:
     """As ``nearest``, but some of the k nearest may be missed, and farther rows stand in for them.
 
     Returns ``line_id, neighbour_id, value, d2, rank`` with true squared
     distances. Every missing row gets k neighbours, if there are as many known
-    places: rows whose buckets hold fewer are searched exactly.
+    places: rows whose buckets hold fewer are searched exactly. ``places`` is as in ``nearest``.
     """
     if k < 1:
         raise ValueError("k must be at least 1")
-    points = feature_array(df, features, target, row_id)
-    width = feature_width(df, features)
-    known = write_and_reread(_lowest_ids_per_place(points.where(F.col("value").isNotNull()), k), "known")
-    asking = points.where(F.col("value").isNull())
+    places = (places or places_of(df, features, target, k, row_id)).for_k(k)
+    width, known, asking = places.width, places.known, places.asking
     n = known.count()
     cells = min(CELLS, math.ceil((n / bucket_rows) ** (1 / projections)))
     if not width or cells <= 1:
-        return nearest(df, features, target, k, row_id)
+        return nearest(df, features, target, k, row_id, places=places)
     directions = np.random.default_rng(seed).standard_normal((tables * projections, width))
     shares = [i / cells for i in range(1, cells)]
     # As many numbers as there are cells reach the driver.
-    places = known.select(_projector(directions)("features").alias("p"))
-    quantiles = places.agg(*[F.percentile_approx(F.col("p")[i], shares, 1000).alias(f"cuts_{i}") for i in range(len(directions))]).first()
+    projected = known.select(_projector(directions)("features").alias("p"))
+    quantiles = projected.agg(*[F.percentile_approx(F.col("p")[i], shares, 1000).alias(f"cuts_{i}") for i in range(len(directions))]).first()
     bucketer = _bucketer(directions, [np.array(cuts) for cuts in quantiles], tables)
     both = known.unionByName(asking).select("line_id", "value", "features", bucketer("features").alias("buckets"))
     both = write_and_reread(both, "hashed")
@@ -231,16 +289,17 @@ def nearest_hashed(
     dealt = spread.select("bucket", "tile", "line_id", "value", "features").repartition(parts, "bucket", "tile")
     # Spark sorts fastest by one number; the few buckets of several tiles are parted in the task.
     found = dealt.sortWithinPartitions("bucket").mapInArrow(
-        _compared(k, width), "line_id bigint, neighbour_id bigint, value string, d2 double"
+        _listed(k, width), "line_id bigint, ids array<bigint>, vals array<string>, d2s array<double>"
     )
-    # Tables find the same neighbours; what they say of them is equal. One shuffle serves this and the ranking.
-    once = found.repartition("line_id").groupBy("line_id", "neighbour_id").agg(F.first("value").alias("value"), F.first("d2").alias("d2"))
-    ranked = write_and_reread(_first(once, ["line_id"], ["d2", "neighbour_id"], k), "ranked")
+    # A list per table is one row to move and sort; the neighbours in it are merged in the tasks.
+    listed = found.repartition("line_id").sortWithinPartitions("line_id")
+    ranked = listed.mapInArrow(_merged(k), "line_id bigint, neighbour_id bigint, value string, d2 double, rank int")
+    ranked = write_and_reread(ranked, "ranked")
     full = ranked.where(F.col("rank") == min(k, n)).select(F.col("line_id").alias("_line"))
     short = write_and_reread(asking.select("line_id").join(full, F.col("line_id") == F.col("_line"), "left_anti"), "short")
     if short.isEmpty():
         return ranked
-    rest = points.join(short.select(F.col("line_id").alias("_line")), F.col("line_id") == F.col("_line"), "left_semi")
+    rest = asking.join(short.select(F.col("line_id").alias("_line")), F.col("line_id") == F.col("_line"), "left_semi")
     exact = nearest(known.unionByName(rest.select(*known.columns)), "features", "value", k)
     kept = ranked.join(short.select(F.col("line_id").alias("_line")), F.col("line_id") == F.col("_line"), "left_anti")
     return kept.unionByName(exact.select(*kept.columns))

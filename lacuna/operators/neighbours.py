@@ -1,10 +1,13 @@
 """k-nearest-neighbour imputation."""
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lacuna.session import write_and_reread
+
 from .blocks import ROWS_PER_BLOCK, candidate_pairs, make_blocks, nearest_in_pairs
 from .clean import feature_array, feature_width
 
@@ -59,6 +62,36 @@ def _lowest_ids_per_place(known: DataFrame, k: int, also: Sequence[str] = ()) ->
     return _first(known.withColumn("place", F.xxhash64("features")), ["place", "features", *also], ["line_id"], k).drop("place", "rank")
 
 
+@dataclass(frozen=True)
+class Places:
+    """The rows that a search reads, as a written table: the missing ones and the known ones without needless copies."""
+
+    rows: DataFrame
+    width: int
+    k: int
+
+    @property
+    def known(self) -> DataFrame:
+        return self.rows.where(F.col("value").isNotNull())
+
+    @property
+    def asking(self) -> DataFrame:
+        return self.rows.where(F.col("value").isNull())
+
+    def for_k(self, k: int) -> "Places":
+        if self.k < k:
+            raise ValueError(f"the places are for {self.k} neighbours, {k} are asked for")
+        return self
+
+
+def places_of(df: DataFrame, features: Sequence[str] | str, target: str, k: int, row_id: str = "line_id") -> Places:
+    """``Places`` of ``df`` for up to k neighbours. Several searches over the same rows can share them."""
+    points = feature_array(df, features, target, row_id)
+    known = _lowest_ids_per_place(points.where(F.col("value").isNotNull()), k)
+    rows = known.unionByName(points.where(F.col("value").isNull()).select(*known.columns))
+    return Places(write_and_reread(rows, "places"), feature_width(df, features), k)
+
+
 def nearest(
     df: DataFrame,
     features: Sequence[str] | str,
@@ -66,22 +99,23 @@ def nearest(
     k: int,
     row_id: str = "line_id",
     rows_per_block: int = ROWS_PER_BLOCK,
+    places: Places | None = None,
 ) -> DataFrame:
     """The k nearest known rows of each row whose target is missing.
 
     Returns ``line_id, neighbour_id, value, d2, rank``; ``d2`` is the squared
     Euclidean distance, and equal distances are ordered by neighbour id.
+    ``places``, made from the same arguments, saves making them here.
     """
     if k < 1:
         raise ValueError("k must be at least 1")
-    points = feature_array(df, features, target, row_id)
     width = feature_width(df, features)
     if not width:
-        return points.where("false").select(
+        return feature_array(df, features, target, row_id).where("false").select(
             "line_id", F.col("line_id").alias("neighbour_id"), "value", F.lit(0.0).alias("d2"), F.lit(0).alias("rank")
         )
-    known = _lowest_ids_per_place(points.where(F.col("value").isNotNull()), k)
-    blocks = make_blocks(points, known, k, width, rows_per_block)
+    places = (places or places_of(df, features, target, k, row_id)).for_k(k)
+    blocks = make_blocks(places.rows, places.known, k, width, rows_per_block)
     if blocks.missing_rows and not blocks.known_rows:
         raise ValueError(f"{target!r} is missing in every usable row, so there is nothing to impute from")
     found = nearest_in_pairs(blocks, candidate_pairs(blocks, k, width), k, width).drop("since", "until")

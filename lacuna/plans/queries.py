@@ -20,6 +20,7 @@ from lacuna.operators import (
     nearest_hashed,
     node_table,
     perceptron_class,
+    places_of,
     plan_training,
     project_attributes,
     tree_class,
@@ -235,8 +236,11 @@ def knn_neighbours_hashed(spark, folder):
 def knn_hashed_recall(spark, folder):
     """The approximate search beside the exact one: rows asked, whether all got k, recall of 0.9, true distances."""
     damaged = erase(_orders(spark, folder), "o_orderstatus", PERCENT)
-    exact = nearest(damaged, ORDER_FEATURES, "o_orderstatus", K)
-    found = knn_neighbours_hashed(spark, folder).withColumnsRenamed({"d2": "found_d2", "rank": "found_rank"}).drop("value")
+    # Both searches read the same written rows.
+    places = places_of(damaged, ORDER_FEATURES, "o_orderstatus", K)
+    exact = nearest(damaged, ORDER_FEATURES, "o_orderstatus", K, places=places)
+    found = nearest_hashed(damaged, ORDER_FEATURES, "o_orderstatus", K, bucket_rows=256, places=places)
+    found = found.withColumnsRenamed({"d2": "found_d2", "rank": "found_rank"}).drop("value")
     both = found.join(exact, ["line_id", "neighbour_id"], "full")
     return both.agg(
         F.count_distinct("line_id").alias("asked"),

@@ -15,7 +15,7 @@ from lacuna.operators import (
     forest_impute, knn_impute_hashed, nearest, nearest_hashed, node_table, perceptron_class, plan_training, tree_class, tree_impute,
     walk_nodes, weight_table,
 )
-from lacuna.operators import hashed
+from lacuna.operators import blocks, hashed, neighbours, places_of
 from lacuna.plans import HEADACHE, compare_grid, run_experiment
 from lacuna.session import scratch, shared_folder, written_path
 from lacuna.sources import with_row_id
@@ -243,3 +243,43 @@ def test_buckets_go_on_over_batches_and_tiles_are_told_apart(monkeypatch):
         near = sorted(((x - y) ** 2, other, v) for c, u, other, v, (y,) in rows if (c, u) == (b, t) and v is not None)
         wanted |= {(line, other, v, d2) for d2, other, v in near[:2] if value is None}
     assert found == wanted
+
+
+def test_a_bucket_says_all_of_a_row_in_one_row_and_lists_are_merged(monkeypatch):
+    monkeypatch.setattr(hashed, "ROWS_AT_ONCE", 40)
+    monkeypatch.setattr(hashed, "LISTS_AT_ONCE", 7)
+    made = np.random.default_rng(9)
+    # Two tables that bring nearly the same rows together; places tie.
+    places = made.integers(0, 30, 240).astype(float)
+    rows = sorted((2 * int(i + t * 11) // 60 * 2 + t, 0, i, None if i % 5 == 0 else "xy"[i % 2], [places[i]]) for i in range(240) for t in (0, 1))
+    columns = dict(zip(("bucket", "tile", "line_id", "value", "features"), map(list, zip(*rows))))
+    batches = pa.table(columns).to_batches(max_chunksize=9)
+    lists = pa.Table.from_batches(hashed._listed(4, 1)(iter(batches)))
+    assert lists.num_rows == 2 * 48 and set(lists["ids"].combine_chunks().value_lengths().to_pylist()) == {4}
+    ordered = lists.sort_by("line_id").to_batches(max_chunksize=5)
+    found = [tuple(r.values()) for out in hashed._merged(4)(iter(ordered)) for r in out.to_pylist()]
+    wanted = []
+    for line in range(0, 240, 5):
+        mine = {b for b, _, other, _, _ in rows if other == line}
+        near = sorted({((places[line] - x) ** 2, other, v) for b, _, other, v, (x,) in rows if b in mine and v is not None})
+        wanted += [(line, other, v, d2, rank) for rank, (d2, other, v) in enumerate(near[:4], 1)]
+    assert found == wanted
+
+
+def test_searches_share_their_rows_and_the_walk_is_dealt_out(spark, monkeypatch):
+    made = np.random.default_rng(2)
+    rows = [(i, float(made.integers(0, 400)), float(made.integers(0, 9)), None if i % 9 == 0 else "ab"[i % 2]) for i in range(4000)]
+    df = spark.createDataFrame(rows, "line_id long, a double, b double, t string")
+    places, copies = places_of(df, ["a", "b"], "t", 5), []
+    for search, more in ((nearest, {"rows_per_block": 16}), (nearest_hashed, {"bucket_rows": 200})):
+        alone = sorted(map(tuple, search(df, ["a", "b"], "t", 5, **more).collect()))
+        with monkeypatch.context() as inside:
+            inside.setattr(neighbours, "_lowest_ids_per_place", lambda *a: copies.append(a))
+            assert sorted(map(tuple, search(df, ["a", "b"], "t", 5, places=places, **more).collect())) == alone
+            with pytest.raises(ValueError, match="places"):
+                search(df, ["a", "b"], "t", 6, places=places, **more)
+    assert not copies
+    made_blocks = blocks.make_blocks(places.rows, places.known, 5, 2, 16)
+    walk = blocks._block_walk(made_blocks.table.where("m > 0"), made_blocks, 5, 2)
+    # By bytes, these few would be one task's.
+    assert walk.select(F.spark_partition_id().alias("p")).distinct().count() > 4
