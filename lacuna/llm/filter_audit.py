@@ -7,29 +7,45 @@ number of distinct words, which decide the filters on length and repetition. The
 other filters look at signs, capitals and equal texts. Every order of the filters
 is then worked out from the counts per set of failed filters.
 
-Each shard encodes its own words first. Its word list alone goes to the buckets
-of the dictionary, packed into one row per bucket, and the ids come back the same
-way. So a word that stands in every document costs one entry per shard and not one
-per occurrence, and a bucket holds the words of one share of the hash values.
+Each stretch of texts encodes its own words first. Its word list alone goes to the
+buckets of the dictionary, packed into one row per bucket, and the ids come back the
+same way. So a word that stands in every document costs one entry per stretch and not
+one per occurrence, and a bucket holds the words of one share of the hash values.
+
+No task holds more than a stretch or a bucket, however large its share of the table
+is. Rows are small: a stretch is cut into shards of the matrix and pieces of its word
+list. Shards and the ids of their words are sorted together, and the encoder reads
+them as a stream, one stretch at a time.
 """
 
 from collections.abc import Iterator
-from itertools import permutations
+from itertools import groupby, pairwise, permutations, zip_longest
 from math import factorial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lacuna.session import write_and_reread
+from lacuna.session import arrow_batches, write_and_reread
 
 from .shingles import mix, text_bytes
 
-#: Bytes of text in a shard; a longer text is a shard of its own.
+#: Bytes of text in a stretch; a longer text begins one of its own.
 SHARD_BYTES = 4 << 20
-#: Entries of shards' word lists that a bucket of the dictionary should hold.
+#: Entries of the matrix in a shard, and of bytes in a piece of a word list.
+SHARD_ENTRIES, LIST_BYTES = 1 << 15, 1 << 19
+#: What a document or word counts for besides its entries or bytes.
+ROW_SIZE = 16
+#: Entries of stretches' word lists that a bucket of the dictionary should hold.
 BUCKET_WORDS = 1 << 19
+#: Bytes of those words that it should hold; words are as long as texts have no blanks.
+BUCKET_BYTES = 16 << 20
+#: Shards, and rows of a bucket's numbers, that are written and read at once.
+GROUP_SHARDS, GROUP_NUMBERS = 16, 1 << 10
+#: Bytes that are sent to Python at once.
+BATCH_BYTES = 2 << 20
 
 #: Filters in the order of their bits in a set of failures.
 FILTERS = "ABCDE"
@@ -39,25 +55,34 @@ LEAST_WORDS, LEAST_DISTINCT, MOST_CAPITALS = 50, 65, 5
 SIGNS = b"#$%&*|"
 BLANKS = b"\x20\x09\x0a\x0b\x0c\x0d"
 
-_BLANK = np.isin(np.arange(256), list(BLANKS))
-_SIGN = np.isin(np.arange(256), list(SIGNS))
+_BLANK = bytes(b in BLANKS for b in range(256))
+_SIGN = bytes(b in SIGNS for b in range(256))
 _CAPITALS_BIT, _SIGNS_BIT = 4, 8
+#: Lists of a shard that go on to the encoder.
+_OWN_LISTS = ("ids", "parts", "digests", "failed", "indptr", "gaps", "counts")
+
+
+def _marked(data: np.ndarray, marks: bytes) -> np.ndarray:
+    """The mark of each byte; indexing by bytes would take eight bytes for each."""
+    return np.frombuffer(data.tobytes().translate(marks), bool)
 
 
 def text_facts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Bits of the filters C and D that each text fails; offsets as bounds of the texts in data."""
 
+    bounds = list(pairwise(offsets.tolist()))
+
     def per_text(marked):
-        return np.diff(np.concatenate([[0], np.cumsum(marked)])[offsets])
+        return np.array([np.count_nonzero(marked[low:high]) for low, high in bounds], np.int64)
 
     capitals = per_text((data >= 65) & (data <= 90))
     points = per_text((data & 0xC0) != 0x80)
-    return _CAPITALS_BIT * (100 * capitals > MOST_CAPITALS * points) + _SIGNS_BIT * (per_text(_SIGN[data]) > 0)
+    return _CAPITALS_BIT * (100 * capitals > MOST_CAPITALS * points) + _SIGNS_BIT * (per_text(_marked(data, _SIGN)) > 0)
 
 
 def local_matrix(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
     """(indptr, indices, counts, words) of the texts in CSR form; indices point into words."""
-    inside = ~_BLANK[data]
+    inside = ~_marked(data, _BLANK)
     opens, closes = inside.copy(), inside.copy()
     opens[1:] &= ~inside[:-1]
     closes[:-1] &= ~inside[1:]
@@ -76,21 +101,47 @@ def local_matrix(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     return indptr, entries % width, counts, coded.dictionary.cast(pa.binary())
 
 
-def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _runs(sizes: np.ndarray, most: int) -> list[tuple[int, int]]:
+    """Bounds of runs that add up to about ``most``; an entry that is larger begins a run."""
+    cuts = np.flatnonzero(np.diff(np.cumsum(sizes) // most, prepend=0))
+    return [(low, high) for low, high in pairwise([0, *cuts.tolist(), len(sizes)]) if low < high]
+
+
+def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches' rows, cut or put together into stretches."""
+    held, size = [], 0
     for batch in batches:
-        texts = batch.column("text")
-        sizes = np.diff(text_bytes(texts)[1])
-        cuts = np.flatnonzero(np.diff(np.cumsum(sizes) // SHARD_BYTES, prepend=0))
-        for low, high in zip([0, *cuts], [*cuts, len(sizes)], strict=True):
-            if low == high:
-                continue
-            data, offsets = text_bytes(texts.slice(low, high - low))
-            indptr, indices, counts, words = local_matrix(data, offsets)
+        sizes = np.diff(text_bytes(batch.column("text"))[1])
+        for low, high in _runs(sizes, SHARD_BYTES):
+            more = int(sizes[low:high].sum())
+            if held and size + more > SHARD_BYTES:
+                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                held, size = [], 0
+            held, size = [*held, batch.slice(low, high - low)], size + more
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
+def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of shards: ``at`` counts those of a stretch, and each takes a piece of the stretch's words along."""
+    for batch in _stretches(batches):
+        data, offsets = text_bytes(batch.column("text"))
+        indptr, indices, counts, words = local_matrix(data, offsets)
+        failed = text_facts(data, offsets).astype(np.int32)
+        sizes = pc.binary_length(words).to_numpy()
+        shards, pieces = _runs(np.diff(indptr) + ROW_SIZE, SHARD_ENTRIES), _runs(sizes + ROW_SIZE, LIST_BYTES)
+        for at, ((first, last), (word, end)) in enumerate(zip_longest(shards, pieces, fillvalue=(0, 0))):
+            own = slice(indptr[first], indptr[last])
             lists = [
-                *(batch.column(c).slice(low, high - low) for c in ("doc_id", "part", "digest")), pa.array(text_facts(data, offsets).astype(np.int32)),
-                pa.array(indptr), pa.array(np.diff(indices, prepend=0).astype(np.int32)), pa.array(counts.astype(np.int32)), words,
+                *(batch.column(c).slice(first, last - first) for c in ("doc_id", "part", "digest")), pa.array(failed[first:last]),
+                pa.array(indptr[first:last + 1] - indptr[first]), pa.array(np.diff(indices[own], prepend=0).astype(np.int32)),
+                pa.array(counts[own].astype(np.int32)), words.slice(word, end - word),
             ]
-            yield pa.RecordBatch.from_arrays([_one_list(v) for v in lists], ["ids", "parts", "digests", "failed", "indptr", "gaps", "counts", "words"])
+            numbers = [at, word, end - word, int(sizes[word:end].sum(dtype=np.int64))]
+            yield pa.RecordBatch.from_arrays(
+                [*(_one_list(v) for v in lists), *(pa.array([n]) for n in numbers)],
+                [*_OWN_LISTS, "words", "at", "first", "n_words", "n_bytes"],
+            )
 
 
 def _one_list(values: pa.Array) -> pa.ListArray:
@@ -105,87 +156,114 @@ def _word_hashes(words: pa.Array) -> np.ndarray:
     return mix(np.add.reduceat(mix(data + np.uint64(1)) * powers[places], offsets[:-1] - offsets[0]))
 
 
+def _word_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, list[pa.Array]]]:
+    """(stretch, places, words) with the pieces that come one after another together; places are those in the whole list."""
+    rows = (row for b in batches for row in zip(b.column("stretch").to_pylist(), b.column("first").to_pylist(), b.column("words"), strict=True) if len(row[2].values))
+    for stretch, pieces in groupby(rows, key=lambda row: row[0]):
+        pieces = [(first, words.values) for _, first, words in pieces]
+        yield stretch, np.concatenate([np.arange(first, first + len(words), dtype=np.int32) for first, words in pieces]), [words for _, words in pieces]
+
+
 def _packed(buckets: int):
-    """Function for ``mapInArrow``: the word list of a shard as one row per bucket."""
+    """Function for ``mapInArrow``: the word list of a stretch as one row per bucket."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for shard, words in zip(batch.column("shard").to_pylist(), batch.column("words"), strict=True):
-                words = words.values
-                bucket = (_word_hashes(words) % np.uint64(buckets)).astype(np.int64) if len(words) else np.zeros(0, np.int64)
-                order = np.argsort(bucket, kind="stable")
-                own, starts = np.unique(bucket[order], return_index=True)
-                bounds = pa.array(np.append(starts, len(order)).astype(np.int32))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(own), pa.array(np.full(len(own), shard)), pa.ListArray.from_arrays(bounds, pa.array(order.astype(np.int32))),
-                        pa.ListArray.from_arrays(bounds, words.take(pa.array(order))),
-                    ],
-                    ["bucket", "shard", "places", "words"],
-                )
+        for stretch, places, words in _word_lists(batches):
+            bucket = np.concatenate([(_word_hashes(w) % np.uint64(buckets)).astype(np.int64) for w in words])
+            order = np.argsort(bucket, kind="stable")
+            own, starts = np.unique(bucket[order], return_index=True)
+            bounds = pa.array(np.append(starts, len(order)).astype(np.int32))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(own), pa.array(np.full(len(own), stretch)), pa.ListArray.from_arrays(bounds, pa.array(places[order])),
+                    pa.ListArray.from_arrays(bounds, pa.concat_arrays(words).take(pa.array(order))),
+                ],
+                ["bucket", "stretch", "places", "words"],
+            )
 
     return pack
 
 
 def _numbered(key: tuple, group: pa.Table) -> pa.Table:
-    """The different words of a bucket (a row without shard), and their numbers in the bucket for every shard."""
+    """The different words of a bucket (a row without stretch), and their numbers in the bucket for every stretch."""
     lists = group.column("words").combine_chunks()
     coded = lists.flatten().dictionary_encode()
     numbers = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())]).astype(np.int32)), coded.indices.cast(pa.int32()))
     n = len(group) + 1
     return pa.table({
-        "bucket": pa.repeat(key[0], n), "shard": pa.concat_arrays([pa.nulls(1, pa.int64()), group.column("shard").combine_chunks()]),
+        "bucket": pa.repeat(key[0], n), "stretch": pa.concat_arrays([pa.nulls(1, pa.int64()), group.column("stretch").combine_chunks()]),
         "places": pa.concat_arrays([pa.nulls(1, pa.list_(pa.int32())), group.column("places").combine_chunks().cast(pa.list_(pa.int32()))]),
         "numbers": pa.concat_arrays([pa.nulls(1, pa.list_(pa.int32())), numbers.cast(pa.list_(pa.int32()))]),
         "words": pa.concat_arrays([_one_list(coded.dictionary).cast(pa.list_(pa.binary())), pa.nulls(n - 1, pa.list_(pa.binary()))]),
+        "n_words": pa.concat_arrays([pa.array([len(coded.dictionary)]), pa.nulls(n - 1, pa.int64())]),
     })
 
 
 def _encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Shards with the ids of the dictionary in place of their own word numbers."""
+    """Shards with the ids of the dictionary in place of their stretch's word numbers.
+
+    Rows come by stretch: those with the numbers of its words, by bucket, and then
+    its shards, which have no offset.
+    """
+    places, ids, columns, known = [], [], None, None
     for batch in batches:
-        for i in range(batch.num_rows):
-            value = {name: batch.column(name)[i] for name in batch.schema.names}
-            own = np.cumsum(value["gaps"].values.to_numpy(), dtype=np.int64)
-            columns = np.zeros(int(own.max(initial=-1)) + 1, np.int64)
-            for part in value["coded"].values or []:
-                columns[part["places"].values.to_numpy()] = part["numbers"].values.to_numpy() + part["offset"].as_py()
-            lists = [value[c].values for c in ("ids", "parts", "digests", "failed", "indptr")] + [pa.array(columns[own]), value["counts"].values]
+        stretches, low = batch.column("stretch").to_numpy(), 0
+        for at in [*np.flatnonzero(batch.column("offset").is_null().to_numpy(zero_copy_only=False)), batch.num_rows]:
+            coded, low = batch.slice(low, at - low), at + 1
+            if coded.num_rows:
+                sizes = coded.column("places").value_lengths().to_numpy()
+                # Copied, as a batch would stay for as long as a part of it.
+                places.append(coded.column("places").flatten().to_numpy().copy())
+                ids.append(coded.column("numbers").flatten().to_numpy() + np.repeat(coded.column("offset").to_numpy(), sizes))
+            if at == batch.num_rows:
+                break
+            if stretches[at] != known:
+                columns, known = np.zeros(sum(map(len, places)), np.int64), stretches[at]
+                for here, there in zip(places, ids, strict=True):
+                    columns[here] = there
+                places, ids = [], []
+            value = {name: batch.column(name)[at].values for name in _OWN_LISTS}
+            if not len(value["ids"]):  # it only took words along
+                continue
+            value["gaps"] = pa.array(columns[np.cumsum(value["gaps"].to_numpy(), dtype=np.int64)])
             yield pa.RecordBatch.from_arrays(
-                [batch.column("shard").slice(i, 1), *(_one_list(v) for v in lists)],
-                ["shard", "ids", "parts", "digests", "failed", "indptr", "indices", "counts"],
+                [batch.column("shard").slice(at, 1), *(_one_list(v) for v in value.values())],
+                ["shard", *("indices" if name == "gaps" else name for name in _OWN_LISTS)],
             )
 
 
 def _local_and_coded(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Shards with word numbers of their own and the dictionary's (coded) beside them, and the dictionary (word, id)."""
+    """Shards with word numbers of their stretch, behind the dictionary's numbers of its words, and the dictionary (word, id)."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     read = docs.select("doc_id", "part", F.unhex(F.sha2(text.cast("binary"), 256)).alias("digest"), text.alias("text"))
     local = read.mapInArrow(
         _shards,
-        f"ids array<{kind}>, parts array<string>, digests array<binary>, failed array<int>, indptr array<bigint>, gaps array<int>, counts array<int>, words array<binary>",
+        f"ids array<{kind}>, parts array<string>, digests array<binary>, failed array<int>, indptr array<bigint>, gaps array<int>, counts array<int>, words array<binary>, at bigint, first bigint, n_words bigint, n_bytes bigint",
     )
-    local = write_and_reread(local.withColumn("shard", F.monotonically_increasing_id()), "shards")
-    entries = local.agg(F.sum(F.size("words"))).first()[0] or 0
-    packed = local.select("shard", "words").mapInArrow(
-        _packed(-(-entries // BUCKET_WORDS) or 1), "bucket bigint, shard bigint, places array<int>, words array<binary>"
+    # Ids count on within a task, so rows of a stretch have the same id less their place.
+    local = local.withColumn("shard", F.monotonically_increasing_id()).withColumn("stretch", F.col("shard") - F.col("at"))
+    with arrow_batches(docs.sparkSession, BATCH_BYTES):
+        local = write_and_reread(local, "shards", GROUP_SHARDS)
+    entries, size = (n or 0 for n in local.agg(F.sum("n_words"), F.sum("n_bytes")).first())
+    packed = local.select("stretch", "first", "words").mapInArrow(
+        _packed(max(-(-entries // BUCKET_WORDS), -(-size // BUCKET_BYTES), 1)), "bucket bigint, stretch bigint, places array<int>, words array<binary>"
     )
-    numbered = write_and_reread(
-        packed.groupBy("bucket").applyInArrow(_numbered, "bucket bigint, shard bigint, places array<int>, numbers array<int>, words array<binary>"), "numbered"
+    numbered = packed.groupBy("bucket").applyInArrow(
+        _numbered, "bucket bigint, stretch bigint, places array<int>, numbers array<int>, words array<binary>, n_words bigint"
     )
+    with arrow_batches(docs.sparkSession, BATCH_BYTES):
+        numbered = write_and_reread(numbered, "numbered", GROUP_NUMBERS)
     # A bucket's ids follow those of the buckets before it: one row of two numbers per bucket.
-    words = numbered.where("shard IS NULL")
+    words = numbered.where("stretch IS NULL")
     before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = words.select(F.col("bucket").alias("_bucket"), F.coalesce(F.sum(F.size("words")).over(before), F.lit(0)).alias("offset"))
+    offsets = words.select(F.col("bucket").alias("_bucket"), F.coalesce(F.sum("n_words").over(before), F.lit(0)).alias("offset"))
     offsets = write_and_reread(offsets, "offsets")
     same = F.col("bucket") == F.col("_bucket")
     dictionary = words.join(offsets, same).select("offset", F.posexplode("words").alias("at", "word")).select("word", (F.col("offset") + F.col("at")).alias("id"))
-    parts = numbered.where("shard IS NOT NULL").join(offsets, same).groupBy(F.col("shard").alias("_shard")).agg(
-        F.collect_list(F.struct("offset", "places", "numbers")).alias("coded")
-    )
-    joined = local.drop("words").join(parts.hint("shuffle_hash"), F.col("shard") == F.col("_shard"), "left").drop("_shard")
-    return joined, dictionary
+    parts = numbered.where("stretch IS NOT NULL").join(offsets, same).select("stretch", "offset", "places", "numbers")
+    both = parts.unionByName(local.select("stretch", "shard", *_OWN_LISTS), allowMissingColumns=True)
+    return both.repartition("stretch").sortWithinPartitions("stretch", F.col("offset").asc_nulls_last()), dictionary
 
 
 def document_term_shards(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -226,7 +304,9 @@ def document_failures(docs: DataFrame) -> DataFrame:
     )
     short = F.col("n_words") < LEAST_WORDS
     repetitive = 100 * F.col("n_distinct") < LEAST_DISTINCT * F.col("n_words")
-    rows = write_and_reread(facts.select("doc_id", "part", "digest", (F.col("failed") + short.cast("int") + 2 * repetitive.cast("int")).alias("failed")), "failed")
+    rows = facts.select("doc_id", "part", "digest", (F.col("failed") + short.cast("int") + 2 * repetitive.cast("int")).alias("failed"))
+    with arrow_batches(docs.sparkSession, BATCH_BYTES):
+        rows = write_and_reread(rows, "failed")
     # The least id of a text; copies are summed before the shuffle, and the join deals them by their ids too.
     first = rows.groupBy("digest").agg(F.min("doc_id").alias("_first")).withColumnRenamed("digest", "_digest")
     same = (F.col("digest") == F.col("_digest")) & (F.col("doc_id") == F.col("_first"))

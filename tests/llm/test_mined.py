@@ -5,10 +5,12 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 from itertools import permutations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -269,3 +271,79 @@ def test_matrix_is_that_of_the_words(spark, monkeypatch, folder):
             assert got == collections.Counter(texts[doc].split())
             seen += 1
     assert seen == len(texts)
+
+
+@pytest.fixture
+def written(monkeypatch):
+    """The tables that the audit writes, by name."""
+    found, keep = {}, filter_audit.write_and_reread
+
+    def write(df, name, *more):
+        found[name] = keep(df, name, *more)
+        return found[name]
+
+    monkeypatch.setattr(filter_audit, "write_and_reread", write)
+    return found
+
+
+def test_shards_are_small_rows_in_small_groups(spark, monkeypatch, written, folder):
+    for name, value in {"SHARD_BYTES": 20_000, "SHARD_ENTRIES": 1000, "LIST_BYTES": 2000, "GROUP_SHARDS": 3, "BATCH_BYTES": 5000}.items():
+        monkeypatch.setattr(filter_audit, name, value, raising=False)
+    limit = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    docs = table(spark, folder, "documents").select("doc_id", F.col("source").alias("part"), "text")
+    matrix, dictionary = filter_audit.document_term_shards(docs)
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == limit
+    footers = [pq.ParquetFile(f.removeprefix("file://")).metadata for f in written["shards"].inputFiles()]
+    groups = [m.row_group(i).num_rows for m in footers for i in range(m.num_row_groups)]
+    assert len(groups) > 5 and max(groups) <= 3
+    texts = {r.doc_id: collections.Counter(r.text.encode().split()) for r in docs.collect()}
+    most, words = max(map(len, texts.values())) + 16, {r.id: bytes(r.word) for r in dictionary.collect()}
+    assert max(r.n for r in written["shards"].select(F.octet_length(F.array_join(F.col("words").cast("array<string>"), "")).alias("n")).collect()) <= 2000 + max(map(len, words.values()))
+    shards = matrix.collect()
+    assert len({s.shard for s in shards}) == len(shards) and max(len(s["counts"]) for s in shards) <= 1000 + most
+    found = {}
+    for shard in shards:
+        for i, doc in enumerate(shard["ids"]):
+            entries = slice(shard["indptr"][i], shard["indptr"][i + 1])
+            found[doc] = {words[w]: n for w, n in zip(shard["indices"][entries], shard["counts"][entries], strict=True)}
+    assert found == texts
+
+
+def test_audit_of_rows_sent_one_by_one(spark, monkeypatch):
+    for name, value in {"SHARD_BYTES": 900, "SHARD_ENTRIES": 40, "LIST_BYTES": 50, "BUCKET_WORDS": 20, "GROUP_SHARDS": 2, "GROUP_NUMBERS": 2, "BATCH_BYTES": 1}.items():
+        monkeypatch.setattr(filter_audit, name, value, raising=False)
+    chance = random.Random(8)
+    rows = [(i, " ".join(f"w{chance.randrange(1, 90) ** 2}" for _ in range(chance.randrange(0, 120))), f"s{i % 2}") for i in range(80)]
+    rows += [(80 + i, chance.choice(["", None, "\n"]), "s0") for i in range(9)] + [(90, "many " * 900, "s1"), (91, rows[3][1], "s0")]
+    labels = [(i, i % 2, int(i % 3 == 0)) for i in range(70)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    marks = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    assert audit_rows(filter_audit.audit_filters(docs.repartition(3), marks)) == audited(rows, labels)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", 12345)
+    assert audit_rows(filter_audit.audit_filters(docs.repartition(1), marks)) == audited(rows, labels)
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "12345"
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+
+
+def test_words_without_blanks_make_more_buckets(spark, monkeypatch, written):
+    monkeypatch.setattr(filter_audit, "BUCKET_BYTES", 10_000, raising=False)
+    words = [f"{i}é" * 100 for i in range(300)]
+    docs = spark.createDataFrame([(i, "p", " ".join(words[i:i + 40])) for i in range(0, 300, 10)], "doc_id long, part string, text string").coalesce(1)
+    assert {r.failed & 3 for r in filter_audit.document_failures(docs).collect()} == {1}
+    assert written["numbered"].select("bucket").distinct().count() > 6
+
+
+def test_no_step_holds_the_shards_of_a_partition(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", F.col("source").alias("part"), "text")
+    plan = filter_audit.document_term_shards(docs)[0]._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "ShuffledHashJoin" not in plan and "collect_list" not in plan
+
+
+def test_facts_of_a_long_text_take_little_memory():
+    text = ("Plain words of a text, é " * 200_000).encode()
+    data, offsets = np.frombuffer(text, np.uint8), np.array([0, 0, len(text) - 7, len(text) - 7, len(text)])
+    tracemalloc.start()
+    assert filter_audit.text_facts(data, offsets).tolist() == [0, 0, 0, 0]
+    assert tracemalloc.get_traced_memory()[1] < 8 * len(text)
+    tracemalloc.stop()
+    assert filter_audit.text_facts(np.frombuffer(b"ABc$", np.uint8), np.array([0, 0, 3, 4])).tolist() == [0, 4, 8]
